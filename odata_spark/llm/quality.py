@@ -94,7 +94,8 @@ def fit(feats: DataFrame, rounds: int = 60) -> dict:
     one = votes[:, :, None] == np.array([-1, 0, 1])
     # A pattern starts out bad as soon as one rule votes against it; rules are taken to be better than chance.
     good = np.where((votes == -1).any(1), 0.05, 0.95)
-    pseudo = (weight.sum() + 10) * np.array([[0.0005, 0.05, 0.9495], [0.2, 0.05, 0.75]])
+    # The rules' bounds are set so that good text hardly ever draws a vote against it: a firm prior. What bad text draws is learnt.
+    pseudo = (weight.sum() + 10) * np.array([[20.0], [1.0]]) * np.array([[0.0005, 0.05, 0.9495], [0.2, 0.05, 0.75]])
     prior, p = 0.8, None
     for _ in range(rounds):
         p = np.stack([np.einsum("p,pkv->kv", weight * y, one) + pseudo[i] for i, y in enumerate((good, 1 - good))])
