@@ -54,8 +54,9 @@ def shingles(text: str | None, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_hashes) > 300_000:
         _hashes.clear()
-    for w in set(words) - _hashes.keys():
-        _hashes[w] = xxhash.xxh64_intdigest(w)
+    for w in words:
+        if w not in _hashes:
+            _hashes[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.zeros(n, np.uint64)
