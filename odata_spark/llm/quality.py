@@ -36,7 +36,11 @@ VOTES = [f"vote_{r[0]}" for r in RULES]
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with the counts and one vote column (-1, 0, 1) for each rule."""
+    """docs with the counts and one vote column (-1, 0, 1) for each rule.
+
+    Write the result once (common.materialize) before fit() and verdict(): both read it, and the
+    optimiser would otherwise copy these long expressions into every condition on a verdict.
+    """
     text = text_or_empty()
     added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_capitals", "n_shouts", "n_distinct", *VOTES}
     keep = [c for c in docs.columns if c not in added]
@@ -52,9 +56,11 @@ def features(docs: DataFrame) -> DataFrame:
         without("!").cast("long").alias("n_shouts"),
     )
     n = F.size("__q_words")
+    df = df.select("*", F.transform("__q_words", lambda w: F.xxhash64(w)).alias("__q_each"))
+    window = lambda i: F.xxhash64(*[F.get("__q_each", i + k) for k in range(WINDOW)])
     df = df.select(
         "*",
-        F.when(n >= 2 * 1 + WINDOW - 1, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__q_words", i, WINDOW)))).alias("__q_hashes"),
+        F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).alias("__q_hashes"),
     )
     # Windows found twice or more: neighbours in the sorted (hash, place) pairs with the same hash.
     pairs = F.sort_array(F.transform("__q_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
