@@ -128,6 +128,7 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     total = weight.sum() + 1
     # Voters are taken to be better than chance, and a vote for toxic to be rare on clean text.
     pseudo = 0.2 * total * np.stack([prior * np.tile([0.02, 0.5, 0.48], (votes.shape[1], 1)), (1 - prior) * np.tile([0.49, 0.505, 0.005], (votes.shape[1], 1))])
+    pseudo[0, -1] = total * np.array([0.02, 0.97, 0.01])  # toxic text without any entry is rare: this anchors the classes
     share = np.ones(votes.shape[1])
     rho = np.zeros((votes.shape[1],) * 2)
     p = np.full((2, votes.shape[1], 3), 1 / 3)
@@ -136,7 +137,9 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
             p = np.stack([np.einsum("p,pkv->kv", weight * y, one) for y in (toxic, 1 - toxic)]) + pseudo
             p /= p.sum(-1, keepdims=True)
             rate = ((weight * toxic).sum() + prior * 0.2 * total) / (1.2 * total)
-            odds = np.log(rate / (1 - rate)) + np.einsum("pkv,kv,k->p", one, np.log(p[0]) - np.log(p[1]), share)
+            ratio = np.log(p[0]) - np.log(p[1])
+            ratio[:, 0], ratio[:, 1], ratio[:, 2] = np.minimum(ratio[:, 0], 0), 0, np.maximum(ratio[:, 2], 0)  # abstaining tells nothing
+            odds = np.log(rate / (1 - rate)) + np.einsum("pkv,kv,k->p", one, ratio, share)
             toxic = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if turn == 0 and len(votes):
             for y in (toxic, 1 - toxic):
