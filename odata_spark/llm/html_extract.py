@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_OPEN = re.compile(r"/?[a-zA-Z][^>]*(>)?")
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,7 +73,11 @@ def parse(page: str) -> Node:
             break
         at = m.end()
         slash, tag, attrs, text = m.groups()
-        if text is not None:
+        if text == "<" and (m := _OPEN.match(page, at)):  # a tag with a stray quote, or one that never ends
+            if m[1] is None:
+                break
+            at = m.end()
+        elif text is not None:
             node.children.append(text)
         elif tag is None:
             continue
