@@ -35,7 +35,7 @@ from .common import materialize
 from .components import components
 
 SPREAD, DEPTH = 2.0, 3
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK = 64, 768
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[bytes, int] = {}
 
@@ -138,7 +138,10 @@ def groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def stars(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from each item to the first of its component, from a symmetric matrix of links."""
+    """Edges from each item to the first of its component, from a symmetric matrix of links.
+
+    Rows come sorted by node, so that buckets that share sets agree on the centre and repeat edges.
+    """
     seen = np.zeros(len(linked), bool)
     out = []
     for i in np.flatnonzero(linked.any(1)):
@@ -233,7 +236,7 @@ def _verify(threshold: float, width: int) -> Callable:
 
 
 def grouped(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(by_group(fn, key), schema)
+    return df.repartition(key).sortWithinPartitions(key, "node").mapInArrow(by_group(fn, key), schema)
 
 
 def candidate_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
