@@ -69,7 +69,7 @@ def mine(labelled: DataFrame, limit: int = 4000, least: int = 3, llr: float = 25
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     ea, eb = (a + b) * (ta / (ta + tb)), (a + b) * (tb / (ta + tb))
     ratio = 2 * (part(a, ea) + part(b, eb) + part(ta - a, ta - ea) + part(tb - b, tb - eb))
-    found = n.where((F.col("entry") != "") & (a >= least) & ((a + 0.5) / (ta + 1) > 6 * (b + 0.5) / (tb + 1)) & (ratio >= llr))
+    found = n.where((F.col("entry") != "") & (a >= max(least, 0.03 * ta)) & ((a + 0.5) / (ta + 1) > 50 * (b + 0.5) / (tb + 1)) & (ratio >= llr))
     return [r["entry"] for r in found.orderBy(ratio.desc(), "entry").limit(limit).collect()]
 
 
