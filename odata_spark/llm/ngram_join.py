@@ -9,8 +9,8 @@ Runs repeat until the target recall: with s = SPREAD * similarity expected share
 keeps a pair at any depth with probability rho = 1 - exp(-s * rho).
 
 Buckets give candidate edges, one star for each local component, never all pairs. Candidate
-components are then verified exactly on whole shingle sets, in pairs of blocks, so that no task
-holds a large component: links are counted for every node, and the verified edges make the
+components are then verified exactly on whole shingle sets (those of a large component go as
+differences to its root's set), in pairs of blocks, so that no task holds a large component: links are counted for every node, and the verified edges make the
 classes. The count of links between different near copies needs each pair of them compared
 once, in blocks; nothing is emitted for each pair.
 
@@ -35,7 +35,7 @@ from .common import materialize
 from .components import components
 
 SPREAD, DEPTH = 2.0, 3
-SMALL, BLOCK = 64, 768
+SMALL, BLOCK, WIDE = 64, 768, 1536
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[bytes, int] = {}
 
@@ -190,47 +190,82 @@ def _in_blocks(rows: DataFrame, key: str, size: str, per: int) -> DataFrame:
     return rows.withColumn("cell", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).drop("other")
 
 
-def _verify(threshold: float, width: int) -> Callable:
-    """Sorted rows of a cell (cell, block, node, times, shingles) -> node, links (and a star edge to `to`)."""
+def _similar(lists: list[np.ndarray], sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sets are similar. lists: each set's symmetric difference to one common set; sizes: of the whole sets.
+
+    Two sets differ by as much as their differences to a third set do, so the third need not be known.
+    """
+    m, own = len(lists), np.array([len(x) for x in lists])
+    _, at = np.unique(np.concatenate(lists), return_inverse=True)
+    df = np.bincount(at)
+    shared = df[at] > 1
+    cols, of = (np.cumsum(df > 1) - 1)[at[shared]], np.repeat(np.arange(m), own)[shared]
+    order = np.argsort(cols, kind="stable")
+    cols, of = cols[order], of[order]
+    both = np.zeros((m, m), np.float32)
+    width = int(cols[-1]) + 1 if len(cols) else 0
+    step = max(1, 8_000_000 // m)
+    for c in range(0, width, step):
+        lo, hi = np.searchsorted(cols, [c, c + step])
+        dense = np.zeros((m, min(step, width - c)), np.float32)
+        dense[of[lo:hi], cols[lo:hi] - c] = 1
+        both += dense @ dense.T
+    linked = np.zeros((m, m), bool)
+    for i in range(m):
+        whole = sizes[i] + sizes
+        common = (whole - own[i] - own) / 2 + both[i]
+        linked[i] = common >= threshold * (whole - common) - 1e-6
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def _link_rows(node: np.ndarray, times: np.ndarray, linked: np.ndarray) -> Iterator[tuple]:
+    """node, a star edge to another node (None for its centre), links."""
+    count, to = linked @ times, {j: i for j, i in stars(linked)}
+    for i in np.flatnonzero(linked.any(1)):
+        yield int(node[i]), int(node[to[int(i)]]) if int(i) in to else None, int(count[i])
+
+
+def _differences(threshold: float, block: int) -> Callable:
+    """Sorted rows of a part (one block of a candidate component, and the component's root).
+
+    A component of one block is verified here. Of a larger one come the differences of its sets
+    to the root's: they lose nothing, and are much smaller than the sets.
+    """
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, block, node, times = (t.column(c).to_numpy() for c in ("cell", "block", "node", "times"))
-        sets = t.column("shingles")
-        out_node, out_to, out_links = [], [], []
-        for a, b in groups(cell):
+        part, node, root, size, times, own = (t.column(c).to_numpy() for c in ("part", "node", "root", "size", "times", "own"))
+        sets, out = t.column("shingles"), []
+        for a, b in groups(part):
             rows = a + np.unique(node[a:b], return_index=True)[1]
-            m = len(rows)
-            if m < 2:
-                continue
             lists = [np.asarray(sets[int(r)].values) for r in rows]
             sizes = np.array([len(x) for x in lists])
-            _, at = np.unique(np.concatenate(lists), return_inverse=True)
-            df = np.bincount(at)
-            of = np.repeat(np.arange(m), sizes)
-            shared = df[at] > 1
-            column = np.cumsum(df > 1) - 1
-            cols, of = column[at[shared]], of[shared]
-            common = np.zeros((m, m), np.float32)
-            order = np.argsort(cols, kind="stable")
-            cols, of = cols[order], of[order]
-            step = max(1, 8_000_000 // m)
-            for c in range(0, int(cols[-1]) + 1 if len(cols) else 0, step):
-                lo, hi = np.searchsorted(cols, [c, c + step])
-                dense = np.zeros((m, min(step, int(cols[-1]) + 1 - c)), np.float32)
-                dense[of[lo:hi], cols[lo:hi] - c] = 1
-                common += dense @ dense.T
-            linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-            np.fill_diagonal(linked, False)
-            own = block[rows]
-            if len(set(own.tolist())) > 1:  # each block's own pairs are counted in its own cell
+            centre = lists[int(np.flatnonzero(node[rows] == root[a])[0])]
+            lists = [np.setxor1d(x, centre, assume_unique=True) for x in lists]
+            if size[a] <= block:
+                out += [(*x, None, None, None, None, None) for x in _link_rows(node[rows], times[rows], _similar(lists, sizes, threshold))]
+            else:
+                out += [(int(node[r]), None, None, int(root[r]), int(size[r]), int(times[r]), int(n), x) for r, n, x in zip(rows, sizes, lists) if own[r]]
+        kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())]
+        names = ["node", "to", "links", "root", "size", "times", "n", "differences"]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+
+    return run
+
+
+def _verify(threshold: float) -> Callable:
+    """Sorted rows of a cell (cell, block, node, times, n, differences) -> node, links (and a star edge to `to`)."""
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, block, node, times, n = (t.column(c).to_numpy() for c in ("cell", "block", "node", "times", "n"))
+        sets, out = t.column("differences"), []
+        for a, b in groups(cell):
+            linked = _similar([np.asarray(sets[r].values) for r in range(a, b)], n[a:b], threshold)
+            own = block[a:b]
+            if (own != own[0]).any():  # each block's own pairs are counted in its own cell
                 linked &= own[:, None] != own[None, :]
-            count = linked @ times[rows]
-            to = {j: i for j, i in stars(linked)}
-            for i in np.flatnonzero(linked.any(1)):
-                out_node.append(node[rows[i]])
-                out_to.append(node[rows[to[int(i)]]] if int(i) in to else None)
-                out_links.append(int(count[i]))
-        yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_to, pa.int64()), pa.array(out_links, pa.int64())], ["node", "to", "links"])
+            out += _link_rows(node[a:b], times[a:b], linked)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["node", "to", "links"])
 
     return run
 
@@ -289,8 +324,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
 
     texts = members.select("node", "root", "size", "times", F.col("doc_id").alias("__id")).join(docs, F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "root", "size", "times", "text")
     texts = texts.mapInArrow(with_sets, "node long, root long, size long, times long, shingles array<long>")
-    cells = _in_blocks(texts, "root", "size", BLOCK).select("cell", "block", "node", "times", "shingles")
-    links = materialize(grouped(cells, "cell", _verify(threshold, width), "node long, to long, links long"), "links")
+    many = F.ceil(F.col("size") / BLOCK).cast("int")
+    texts = texts.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), many).cast("int"))
+    texts = texts.withColumn("at", F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), many - 1)).otherwise(F.array("block"))))
+    parts = texts.select(F.xxhash64("root", "at").alias("part"), "node", "root", "size", "times", (F.col("at") == F.col("block")).alias("own"), "shingles")
+    first = materialize(grouped(parts, "part", _differences(threshold, BLOCK), "node long, to long, links long, root long, size long, times long, n long, differences array<long>"), "differences")
+    cells = _in_blocks(first.where("differences is not null"), "root", "size", WIDE).select("cell", "block", "node", "times", "n", "differences")
+    links = grouped(cells, "cell", _verify(threshold), "node long, to long, links long")
+    links = materialize(links.union(first.where("differences is null").select("node", "to", "links")), "links")
     classes = components(links.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     classes = classes.join(sets.select("node", "doc_id", "times"), "node")

@@ -110,6 +110,7 @@ def test_jaccard_in_blocks(docs, rows, monkeypatch):
     """Large buckets and components go through splitting and pairs of blocks."""
     monkeypatch.setattr(ngram_join, "SMALL", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "WIDE", 3)
     got = sorted(((r.doc_id, r.class_id, r.n_links, r.in_class) for r in ngram_join.jaccard_classes(docs).collect()), key=str)
     assert got == brute_classes(rows)
 
