@@ -157,11 +157,27 @@ def stars(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def bridges(linked: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between the components that two blocks have on their own.
+
+    Each block's own cell gives the edges inside it, so a cell of two blocks needs only those that join what they connect.
+    """
+    same = own[:, None] == own[None, :]
+    centre = np.arange(len(linked))
+    for j, i in stars(linked & same):
+        centre[j] = i
+    left, right = np.nonzero(linked & ~same)
+    kept, at = np.unique(np.concatenate([centre[left], centre[right]]), return_inverse=True)
+    joined = np.zeros((len(kept), len(kept)), bool)
+    joined[at[: len(left)], at[len(left) :]] = True
+    return [(int(kept[j]), int(kept[i])) for j, i in stars(joined | joined.T)]
+
+
 def _candidates(threshold: float, agree: int) -> Callable:
-    """Sorted bucket rows (path, node, n, sketch) -> candidate edges a, b."""
+    """Sorted bucket rows (path, block, node, n, sketch) -> candidate edges a, b."""
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        path, node, size = (t.column(c).to_numpy() for c in ("path", "node", "n"))
+        path, block, node, size = (t.column(c).to_numpy() for c in ("path", "block", "node", "n"))
         flat = t.column("sketch").combine_chunks()
         sketch = flat.flatten().to_numpy().reshape(t.num_rows, -1)
         left, right = [], []
@@ -174,7 +190,8 @@ def _candidates(threshold: float, agree: int) -> Callable:
                 linked[i : i + 64] = (sk[i : i + 64, None, :] == sk[None, :, :]).sum(-1) >= agree
             linked &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9
             np.fill_diagonal(linked, False)
-            for j, i in stars(linked):
+            own = block[a:b]
+            for j, i in bridges(linked, own) if (own != own[0]).any() else stars(linked):
                 left.append(node[a + j])
                 right.append(node[a + i])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -285,11 +302,11 @@ def candidate_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
         sizes = materialize(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level}")
         full = rows.join(sizes, "path")
         small, large = full.where(F.col("size") <= SMALL), full.where(F.col("size") > SMALL)
-        found = grouped(small.join(sets.select("node", "n", "sketch"), "node").select("path", "node", "n", "sketch"), "path", _candidates(threshold, agree), "a long, b long")
+        found = grouped(small.join(sets.select("node", "n", "sketch"), "node").select("path", F.lit(0).alias("block"), "node", "n", "sketch"), "path", _candidates(threshold, agree), "a long, b long")
         edges = found if edges is None else edges.union(found)
         if level == DEPTH - 1:
             cells = _in_blocks(large.join(sets.select("node", "n", "sketch"), "node"), "path", "size", BLOCK)
-            found = grouped(cells.select(F.col("cell").alias("path"), "node", "n", "sketch"), "path", _candidates(threshold, agree), "a long, b long")
+            found = grouped(cells.select(F.col("cell").alias("path"), "block", "node", "n", "sketch"), "path", _candidates(threshold, agree), "a long, b long")
             edges = edges.union(found)
         elif large.isEmpty():
             break
