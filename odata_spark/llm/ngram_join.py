@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -36,6 +37,7 @@ from .components import components
 
 SPREAD, DEPTH = 2.0, 3
 SMALL, BLOCK, WIDE = 64, 768, 1536
+MOST_BITS = 1 << 26
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[bytes, int] = {}
 
@@ -287,6 +289,26 @@ def _verify(threshold: float) -> Callable:
     return run
 
 
+@contextmanager
+def bloom_filtered(spark: SparkSession, items: int) -> Iterator[None]:
+    """Joins planned inside drop, before they shuffle, most rows of the larger side that no key of the smaller can match.
+
+    Spark builds the Bloom filter on the executors; it has 8 bits for each of `items` keys, 8 MB at most. Beyond
+    that it lets more rows pass to the join, which decides in any case.
+    """
+    top = "spark.sql.optimizer.runtime.bloomFilter."
+    items = max(1000, min(items, MOST_BITS // 8))
+    put = {"enabled": "true", "applicationSideScanSizeThreshold": "0b", "creationSideThreshold": "1t", "expectedNumItems": items, "maxNumItems": MOST_BITS // 8, "numBits": 8 * items, "maxNumBits": MOST_BITS}
+    before = {k: spark.conf.get(top + k) for k in put}
+    for k, v in put.items():
+        spark.conf.set(top + k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(top + k, v)
+
+
 def grouped(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, "node").mapInArrow(by_group(fn, key), schema)
 
@@ -334,18 +356,20 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
             keep, found = [], []
             for i, (node, text) in enumerate(zip(b.column(0), b.column(4))):
                 s = shingles(text.as_py(), width)
-                if len(s) and signature(s) == node.as_py():  # a repeated id may have other texts
+                if len(s) and signature(s) == node.as_py():  # a repeated id, or one of the same hash, may have other texts
                     keep.append(i)
                     found.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(keep, pa.int32())) for c in range(4)), pa.array(found, pa.list_(pa.int64()))], ["node", "root", "size", "times", "shingles"])
 
-    texts = members.select("node", "root", "size", "times", F.col("doc_id").alias("__id")).join(docs, F.col("__id").eqNullSafe(F.col("doc_id"))).select("node", "root", "size", "times", "text")
+    wanted = members.where("size > 1").select("node", "root", "size", "times", F.xxhash64("doc_id").alias("__key"))
+    texts = wanted.join(docs.select("text", F.xxhash64("doc_id").alias("__key")), "__key").select("node", "root", "size", "times", "text")
     texts = texts.mapInArrow(with_sets, "node long, root long, size long, times long, shingles array<long>")
     many = F.ceil(F.col("size") / BLOCK).cast("int")
     texts = texts.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), many).cast("int"))
     texts = texts.withColumn("at", F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), many - 1)).otherwise(F.array("block"))))
     parts = texts.select(F.xxhash64("root", "at").alias("part"), "node", "root", "size", "times", (F.col("at") == F.col("block")).alias("own"), "shingles")
-    first = materialize(grouped(parts, "part", _differences(threshold, BLOCK), "node long, to long, links long, root long, size long, times long, n long, differences array<long>"), "differences")
+    with bloom_filtered(docs.sparkSession, members.count()):
+        first = materialize(grouped(parts, "part", _differences(threshold, BLOCK), "node long, to long, links long, root long, size long, times long, n long, differences array<long>"), "differences")
     cells = _in_blocks(first.where("differences is not null"), "root", "size", WIDE).select("cell", "block", "node", "times", "n", "differences")
     links = grouped(cells, "cell", _verify(threshold), "node long, to long, links long")
     links = materialize(links.union(first.where("differences is null").select("node", "to", "links")), "links")
