@@ -80,7 +80,7 @@ def runs_for(recall: float, similarity: float) -> int:
 
 
 def _describe(width: int, runs: int) -> Callable:
-    """doc_id, text -> node, n, sketch (one minhash for each run and level), chosen (run, level, token)."""
+    """doc_id, text -> node, n, sketch (one byte of a minhash for each run and level), chosen (run, level, token)."""
     with np.errstate(over="ignore"):
         seeds = mix(np.arange(1, runs * DEPTH + 1, dtype=np.uint64) * GOLD)
 
@@ -92,7 +92,7 @@ def _describe(width: int, runs: int) -> Callable:
                 n = len(s)
                 sizes.append(n)
                 if not n:
-                    nodes.append(None), sketches.append([]), chosen.append([])
+                    nodes.append(None), sketches.append(b""), chosen.append([])
                     continue
                 nodes.append(signature(s))
                 limit = np.uint64(min(2**64 - 1, int(SPREAD / n * 2.0**64)))
@@ -101,11 +101,11 @@ def _describe(width: int, runs: int) -> Callable:
                     h = (s ^ seed) * GOLD
                     h ^= h >> np.uint64(32)
                     h *= np.uint64(0xD6E8FEB86659FD93)
-                    sketch.append(int(h.min() >> np.uint64(33)))
+                    sketch.append(int(mix(h.min(keepdims=True))[0] >> np.uint64(56)))
                     picks.append(s[h <= limit].view(np.int64).tolist())
-                sketches.append(sketch)
+                sketches.append(bytes(sketch))
                 chosen.append(picks)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int32())), pa.array(chosen, pa.list_(pa.list_(pa.int64())))], ["doc_id", "node", "n", "sketch", "chosen"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(chosen, pa.list_(pa.list_(pa.int64())))], ["doc_id", "node", "n", "sketch", "chosen"])
 
     return run
 
@@ -180,8 +180,7 @@ def _candidates(threshold: float, agree: int) -> Callable:
 
     def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
         path, block, node, size = (t.column(c).to_numpy() for c in ("path", "block", "node", "n"))
-        flat = t.column("sketch").combine_chunks()
-        sketch = flat.flatten().to_numpy().reshape(t.num_rows, -1)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
         left, right = [], []
         for a, b in groups(path):
             if b - a < 2:
@@ -314,7 +313,7 @@ def grouped(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
 
 
 def candidate_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """sets (node, n, sketch, chosen) -> edges a, b between sets that may be similar."""
+    """sets (node, n, sketch, chosen) -> edges a, b between sets that may be similar; some repeat."""
     agree = max(1, math.floor(runs * DEPTH * threshold - 4.2 * math.sqrt(runs * DEPTH * threshold * (1 - threshold))))
     rows = sets.select("node", "n", "sketch", F.posexplode("chosen").alias("k", "tokens"))
     rows = rows.where(F.col("k") % DEPTH == 0).select("node", F.explode("tokens").alias("token"), "k").select("node", F.xxhash64("k", "token").alias("path"), F.floor(F.col("k") / DEPTH).cast("int").alias("run"))
@@ -336,7 +335,7 @@ def candidate_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
             more = sets.select("node", F.posexplode("chosen").alias("k", "tokens")).where(F.col("k") % DEPTH == level + 1)
             more = more.select("node", F.floor(F.col("k") / DEPTH).cast("int").alias("run"), F.explode("tokens").alias("token"))
             rows = large.select("node", "run", "path").join(more, ["node", "run"]).select("node", F.xxhash64("path", "token").alias("path"), "run")
-    return edges.distinct()
+    return edges
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
@@ -344,7 +343,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     runs = runs_for(recall, threshold)
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text")
-    all_docs = materialize(docs.mapInArrow(_describe(width, runs), f"doc_id {kind}, node long, n int, sketch array<int>, chosen array<array<long>>"), "sets")
+    all_docs = materialize(docs.mapInArrow(_describe(width, runs), f"doc_id {kind}, node long, n int, sketch binary, chosen array<array<long>>"), "sets")
     sets = materialize(all_docs.where("node is not null").groupBy("node").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("chosen").alias("chosen")), "nodes")
     cand = components(candidate_edges(sets, threshold, runs))
     sized = cand.groupBy("root").agg(F.count("*").alias("size"))
