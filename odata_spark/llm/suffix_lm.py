@@ -3,15 +3,19 @@
 Symbols are the bytes of the text's tokens, each token closed by a space and the text by an end
 symbol, so that the model also spells words it has never seen. All training documents are
 counted: 6-grams of symbols per batch, summed in Spark, and marginalised to shorter ones.
-A context of up to DEPTH symbols is a candidate if it makes up a share of at least P_MIN of all
-places (so at most 1 / P_MIN contexts of each length, and ten times as many entries, can reach
-the driver at any corpus size). It is retained, with its suffixes, if its next-symbol
-distribution diverges from its parent's: n * KL >= GAIN. Distributions are smoothed towards the
-parent's, and the longest retained suffix scores each symbol.
+A context of up to DEPTH symbols is a candidate if it was seen LEAST times. It is retained, with
+its suffixes, if its next-symbol distribution diverges from its parent's: n * KL >= GAIN. All next
+symbols of a context count, so that distributions sum to one. Distributions are smoothed towards
+the parent's, and the longest retained suffix scores each symbol.
+
+The tree grows with the corpus and stays in Spark, dealt by the last LOW + 1 symbols of context:
+each task has all contexts that end so, and the counts of the grams of LOW + 1 symbols, which the
+alphabet bounds. It scores the grams of its part. Grams with a share of HOT_GRAM or more of all
+places (at most 1 / HOT_GRAM of them) are looked up in the scan; all others are joined by gram.
 
 The base score needs the training count of every token. Tokens with a share of HOT or more (at
-most 1 / HOT of them) are looked up in the scan; all others are joined by token, so no key of
-that join exceeds that share of the rows.
+most 1 / HOT of them) are looked up in the scan; all others are joined by token. So no key of
+that join exceeds those shares of the rows.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are scored alike,
 each on its own. Without training rows N = V = 0 and symbols are uniform. An empty table gives
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, materialize
 
 DEPTH = 5  # symbols of context; with the next one they fit 64 bits
-P_MIN, HOT, GAIN, STRENGTH = 2e-5, 1e-5, 12.0, 4.0
+LEAST, HOT, HOT_GRAM, GAIN, STRENGTH = 2, 1e-5, 1e-7, 12.0, 4.0
+LOW = 2  # contexts of up to so many symbols are known to every task
 END = b"\x00"  # the end token's word and symbol; a NUL in a text is counted as byte 1
 SYMBOLS = 256
 MASK = np.uint64((1 << 48) - 1)
@@ -53,34 +58,45 @@ def codes(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def gram_key(gram: int) -> bytes:
+    """Among words, which hold no space."""
+    return b" " + gram.to_bytes(DEPTH + 1, "big")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: tokens (word) and 6-grams (gram)."""
-    words, grams, size = Counter(), [], 0
+    """text, training -> partial counts: training tokens (word) and 6-grams (gram; n in training texts, places in all)."""
+    words, grams, size = Counter(), ([], []), 0
+    names = ["word", "gram", "n", "places"]
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if grams:
-            g, c = np.unique(np.concatenate(grams), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["word", "gram", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64())], ["word", "gram", "n"])
+        for training, some in enumerate(grams):
+            if some:
+                g, c = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64) * training), pa.array(c.astype(np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64()), pa.nulls(len(words), pa.int64())], names)
 
     for b in batches:
-        for text in b.column(0):
+        for text, training in zip(b.column(0), b.column(1).to_pylist()):
             found = tokens(text.as_py())
-            words.update(found)
-            words[END + END] += 1  # no text's token: NULs alone stay single words of other spelling
-            grams.append(codes(found))
-            size += len(grams[-1])
+            if training:
+                words.update(found)
+                words[END + END] += 1  # no text's token: NULs alone stay single words of other spelling
+            grams[training].append(codes(found))
+            size += len(grams[training][-1])
             if size > 4_000_000:
                 yield from flush()
-                words, grams, size = Counter(), [], 0
+                words, grams, size = Counter(), ([], []), 0
     yield from flush()
 
 
 class SuffixTree:
     """Retained contexts and their log10 probabilities, as sorted arrays of (context, symbol) codes by length."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], gain: float = GAIN):
-        """levels[k]: context codes, next symbols, counts, and the context's own total, for contexts of k symbols."""
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], gain: float = GAIN, also: dict[int, np.ndarray] | None = None):
+        """levels[k]: context codes, next symbols, counts, and the context's own total, for contexts of k symbols.
+
+        also: by length, contexts of `levels` to retain since longer ones, not in `levels`, are.
+        """
         self.contexts: list[np.ndarray] = [np.zeros(1, np.uint64)]
         base = np.full(SYMBOLS, 0.5)
         np.add.at(base, levels[0][1].astype(int), levels[0][2])
@@ -96,7 +112,7 @@ class SuffixTree:
             div = np.bincount(at, n * (np.log(p) - parent * math.log(10)), len(uniq)) if len(uniq) else np.zeros(0)
             totals = np.zeros(len(uniq))
             totals[at] = total
-            keep.append(uniq[div >= gain])
+            keep.append(np.union1d(uniq[div >= gain], (also or {}).get(k, uniq[:0])))
             self.contexts.append(uniq)
             code = ctx << np.uint64(8) | sym.astype(np.uint64)
             order = np.argsort(code)
@@ -133,56 +149,110 @@ class SuffixTree:
         return out
 
     def cache(self) -> list[np.ndarray]:
-        return [np.full(1 << CACHE_BITS, MASK + np.uint64(1), np.uint64), np.zeros(1 << CACHE_BITS)]
+        return new_cache()
 
     def log10(self, grams: np.ndarray, cache: list[np.ndarray]) -> np.ndarray:
         """Of each symbol, by 6-gram code."""
-        slot = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = cache[1][slot]
-        miss = np.flatnonzero(cache[0][slot] != grams)
-        if len(miss):
-            g, at = np.unique(grams[miss], return_inverse=True)
-            p = self._prob(g >> np.uint64(8), (g & np.uint64(255)).astype(np.int64), DEPTH)
-            out[miss] = p[at]
-            s = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            cache[0][s], cache[1][s] = g, p
-        return out
+        return cached(grams, cache, lambda g: self._prob(g >> np.uint64(8), (g & np.uint64(255)).astype(np.int64), DEPTH))
 
 
-def gather_levels(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each length, the contexts with a share of P_MIN, and of their entries those with P_MIN / 10."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for k in range(DEPTH + 1):
-        mask = (1 << 8 * (k + 1)) - 1
-        own = grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("n"))
-        ctx = own.groupBy(F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("total")).where(F.col("total") >= max(2, P_MIN * total))
-        own = own.where(F.col("n") >= P_MIN / 10 * total).withColumn("c", F.shiftright("g", 8))
-        table = own.join(ctx, "c").select("g", "n", "total").toPandas()
-        g = table["g"].to_numpy(np.int64).astype(np.uint64)
-        levels.append((g >> np.uint64(8), (g & np.uint64(255)).astype(np.int64), table["n"].to_numpy(float), table["total"].to_numpy(float)))
-    return levels
+def new_cache() -> list[np.ndarray]:
+    return [np.full(1 << CACHE_BITS, MASK + np.uint64(1), np.uint64), np.zeros(1 << CACHE_BITS)]
+
+
+def cached(grams: np.ndarray, cache: list[np.ndarray], find: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """find(grams), which is called on distinct ones that the cache lacks."""
+    slot = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+    out = cache[1][slot]
+    miss = np.flatnonzero(cache[0][slot] != grams)
+    if len(miss):
+        g, at = np.unique(grams[miss], return_inverse=True)
+        p = find(g)
+        out[miss] = p[at]
+        s = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        cache[0][s], cache[1][s] = g, p
+    return out
+
+
+def level(grams: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts of k symbols, those seen LEAST times, from grams (all those that end with such a context and a symbol)."""
+    g, at = np.unique(grams & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    n = np.bincount(at, n, len(g))
+    c, at = np.unique(g >> np.uint64(8), return_inverse=True)
+    total = np.bincount(at, n, len(c))[at]
+    keep = (total >= LEAST) & (n > 0)
+    return (g >> np.uint64(8))[keep], (g & np.uint64(255)).astype(np.int64)[keep], n[keep], total[keep]
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """grams (gram, n, places) -> gram, places, and log10 of its last symbol's probability after the others."""
+    mask = (1 << 8 * (LOW + 1)) - 1
+    low = grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("n")).where("n > 0").toPandas()
+    low_grams, low_n = low["g"].to_numpy(np.int64).astype(np.uint64), low["n"].to_numpy(float)
+    lows = [level(low_grams, low_n, k) for k in range(LOW + 1)]
+    shared = grams.sparkSession.sparkContext.broadcast(lows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = [b for b in batches if b.num_rows]
+        if not t:
+            return
+        gram, n, places = (np.concatenate([b.column(i).to_numpy() for b in t]) for i in range(3))
+        g = gram.astype(np.uint64)
+        tree = SuffixTree([*shared.value, *(level(g, n.astype(float), k) for k in range(LOW + 1, DEPTH + 1))])
+        own = np.isin(g >> np.uint64(8) & np.uint64(mask), tree.retained[LOW + 1])
+        p = tree._prob(g >> np.uint64(8), (g & np.uint64(255)).astype(np.int64), DEPTH)
+        for i in range(0, len(g), 50_000):
+            j = slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[j]), pa.array(places[j]), pa.array(p[j], mask=~own[j])], ["gram", "places", "p"])
+
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(mask))
+    scored = materialize(grams.repartition(ending).mapInArrow(run, "gram long, places long, p double"), "lm_grams")
+    also, suffix = {}, F.shiftright("gram", 8)
+    for k in range(1, LOW + 1):
+        found = scored.where("p is not null").select(suffix.bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("c")).distinct().collect()
+        also[k] = np.array(sorted(r["c"] for r in found), np.uint64)
+    top = grams.sparkSession.sparkContext.broadcast(SuffixTree(lows, also=also))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, p = b.column(0).to_numpy().astype(np.uint64), b.column(2).to_numpy(zero_copy_only=False).copy()
+            todo = np.flatnonzero(np.isnan(p))
+            p[todo] = top.value._prob(g[todo] >> np.uint64(8), (g[todo] & np.uint64(255)).astype(np.int64), LOW)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p)], ["gram", "places", "p"])
+
+    return scored.mapInArrow(fill, "gram long, places long, p double")
 
 
 def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     held = crc_mod(F.col("doc_id"), mod) == rest
-    counts = docs.where(~held).select("text").mapInArrow(_count, "word binary, gram long, n long")
-    counts = materialize(counts.groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm_counts")
-    words, grams = counts.where("word is not null").select("word", F.col("n").alias("c")), counts.where("word is null").select("gram", "n")
+    counts = docs.select("text", (~held).alias("training")).mapInArrow(_count, "word binary, gram long, n long, places long")
+    counts = materialize(counts.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("places").alias("places")), "lm_counts")
+    words, grams = counts.where("word is not null").select("word", F.col("n").alias("c")), counts.where("word is null").select("gram", "n", "places")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
     n, v = int(n), int(v)
     floor = max(1.0, HOT * n)
     hot = {bytes(r["word"]): int(r["c"]) for r in words.where(F.col("c") >= floor).collect()}
-    model = spark.sparkContext.broadcast((SuffixTree(gather_levels(grams)), hot))
+    scored = materialize(gram_scores(grams), "lm_scores")
+    often = max(1.0, HOT_GRAM * (scored.agg(F.sum("places")).first()[0] or 0))
+    top = scored.where(F.col("places") >= often).select("gram", "p").toPandas().sort_values("gram")
+    model = spark.sparkContext.broadcast((top["gram"].to_numpy(np.int64).astype(np.uint64), top["p"].to_numpy(float), hot))
     scale = math.log10(n + 1) + math.log10(v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = model.value
-        cache, logs = tree.cache(), {w: math.log10(c + 1) for w, c in known.items()}
+        hot_grams, hot_p, known = model.value
+        cache, logs = new_cache(), {w: math.log10(c + 1) for w, c in known.items()}
+
+        def find(g: np.ndarray) -> np.ndarray:
+            """log10 of the probability; NaN for grams that are joined."""
+            if not len(hot_grams):
+                return np.full(len(g), np.nan)
+            at = np.minimum(np.searchsorted(hot_grams, g), len(hot_grams) - 1)
+            return np.where(hot_grams[at] == g, hot_p[at], np.nan)
+
         for b in batches:
-            uid, word, tf, toks, hits, base, score, ids, out = [], [], [], [], [], [], [], [], []
+            uid, word, tf, places, toks, hits, base, score, out = [], [], [], [], [], [], [], [], []
             for row, text in zip(b.column(0), b.column(2)):
                 found = tokens(text.as_py())
                 count = Counter(found)
@@ -195,37 +265,44 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
                     else:
                         rare.append((w, k))
                 row = row.as_py()
-                # Documents without rare tokens still need a row: a key that no token can have.
-                rare = rare or [(b" %d" % row, 0)]
-                uid += [row] * len(rare)
+                grams = codes(found)
+                logp = cached(grams, cache, find)
+                cold = np.isnan(logp)
+                g, k = np.unique(grams[cold], return_counts=True)
+                # Documents without rare tokens and grams still need a row: a key that neither can have.
+                rare = rare or [(b"  %d" % row, 0)] * (not len(g))
+                uid += [row] * (len(rare) + len(g))
                 word += [w for w, _ in rare]
-                tf += [k for _, k in rare]
-                first = [None] * (len(rare) - 1)
+                word += [gram_key(x) for x in g.tolist()]
+                tf += [k for _, k in rare] + [0] * len(g)
+                places += [0] * len(rare) + k.tolist()
+                first = [None] * (len(rare) + len(g) - 1)
                 toks += [len(found) + 1, *first]
                 hits += [here, *first]
                 base += [total, *first]
-                score += [float(tree.log10(codes(found), cache).sum()), *first]
-                ids += [row] * 0
-                out += [len(uid) - len(rare)]
+                score += [float(logp[~cold].sum()), *first]
+                out += [len(uid) - len(first) - 1]
             # doc_id only on each document's first row
             at = np.full(len(uid), -1)
             at[out] = np.arange(b.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), b.column(1).take(pa.array(at, mask=at < 0)), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), pa.array(toks, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
-                ["uid", "doc_id", "word", "tf", "toks", "hits", "base", "score"],
+                [pa.array(uid, pa.int64()), b.column(1).take(pa.array(at, mask=at < 0)), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), pa.array(places, pa.int64()), pa.array(toks, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
+                ["uid", "doc_id", "word", "tf", "places", "toks", "hits", "base", "score"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    rows = rows.mapInArrow(run, f"uid long, doc_id {kind}, word binary, tf long, toks long, hits long, base double, score double")
-    cold = words.where(F.col("c") < floor)
+    rows = rows.mapInArrow(run, f"uid long, doc_id {kind}, word binary, tf long, places long, toks long, hits long, base double, score double")
+    keys = lambda batches: (pa.RecordBatch.from_arrays([pa.array([gram_key(x) for x in b.column(0).to_pylist()], pa.binary()), pa.nulls(b.num_rows, pa.int64()), b.column(1)], ["word", "c", "p"]) for b in batches)
+    cold = words.where(F.col("c") < floor).withColumn("p", F.lit(None).cast("double"))
+    cold = cold.union(scored.where(F.col("places") < often).select("gram", "p").mapInArrow(keys, "word binary, c long, p double"))
     c = F.coalesce("c", F.lit(0))
     joined = rows.join(cold, "word", "left").groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("toks").cast("long").alias("n_tokens"),
         (F.sum("hits") + F.sum(F.when(c > 0, F.col("tf")).otherwise(0))).cast("long").alias("n_known"),
         (F.sum("base") + F.sum(F.col("tf") * F.log10(c + 1))).alias("logs"),
-        F.sum("score").alias("score"),
+        (F.sum("score") + F.sum(F.when(F.col("places") > 0, F.col("places") * F.col("p")).otherwise(0.0))).alias("score"),
     )
     return joined.select(
         "doc_id", (crc_mod(F.col("doc_id"), mod) == rest).alias("held_out"), "n_tokens", "n_known",

@@ -209,6 +209,27 @@ def test_suffix_tree_sums_to_one():
         assert (10 ** tree.log10(codes & suffix_lm.MASK, tree.cache())).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_suffix_tree_is_whole(spark, monkeypatch):
+    """The dealt tree scores as one tree of all counts, rare contexts and next symbols too, whatever is looked up or joined."""
+    rnd = random.Random(8)
+    texts = [words(rnd, 200, 30) for _ in range(40)] + ["qzjx vkwy " * 9] * 4 + [LONG] * 12
+    rnd.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    seen = np.concatenate([suffix_lm.codes(t.encode().split()) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2])
+    levels = []
+    for k in range(suffix_lm.DEPTH + 1):
+        g, n = np.unique(seen & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
+        c = g >> np.uint64(8)
+        u, at = np.unique(c, return_inverse=True)
+        levels.append((c, (g & np.uint64(255)).astype(np.int64), n.astype(float), np.bincount(at, n)[at].astype(float)))
+    tree = suffix_lm.SuffixTree([x if k == 0 else tuple(y[x[3] >= 2] for y in x) for k, x in enumerate(levels)])
+    want = {i: tree.log10(suffix_lm.codes(t.encode().split()), tree.cache()).sum() for i, t in enumerate(texts)}
+    for hot in (1e-3, 2.0):
+        monkeypatch.setattr(suffix_lm, "HOT_GRAM", hot, raising=False)
+        got = {r.doc_id: r.score for r in suffix_lm.score_documents(df).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_licenses(docs, rows, empty):
     text = "Intro. Licensed under the Apache License, Version 2.0; CC-BY 4.0? Under the MIT License!"
     s = licenses.LicenseScanner().scan(text)
