@@ -5,8 +5,9 @@ In every run, a set chooses about SPREAD of its tokens by hash, so that similar
 shared ones, and so falls into buckets by token; buckets that are too large are split
 again by the tokens chosen for the next level, and so on. Small buckets are compared by brute
 force on minhash sketches; buckets that stay large at the last level are compared in blocks.
-Runs repeat until the target recall: with s = SPREAD * similarity expected shared tokens, a run
-keeps a pair at any depth with probability rho = 1 - exp(-s * rho).
+Runs repeat until the target recall: with s = SPREAD * similarity expected shared tokens, and all
+paths of a run choosing the same tokens at a level, a run keeps a pair at every level with
+probability (1 - exp(-s)) ** DEPTH.
 
 Buckets give candidate edges, one star for each local component, never all pairs. Candidate
 components are then verified exactly on whole shingle sets (those of a large component go as
@@ -73,9 +74,7 @@ def signature(s: np.ndarray) -> int:
 
 
 def runs_for(recall: float, similarity: float) -> int:
-    s, rho = SPREAD * similarity, 1.0
-    for _ in range(DEPTH):
-        rho = 1 - math.exp(-s * rho)
+    rho = (1 - math.exp(-SPREAD * similarity)) ** DEPTH
     return math.ceil(math.log(1 - recall) / math.log(1 - rho))
 
 

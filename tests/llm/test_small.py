@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,20 @@ def test_jaccard_in_blocks(docs, rows, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_recall_at_the_last_level():
+    """Of pairs at Jaccard 0.8, 0.999 share a chosen token at every level of some run, as split buckets need."""
+    pairs, texts = 4000, []
+    for i in range(pairs):
+        whole = [f"t{i}x{k}" for k in range(25)]
+        texts += [" ".join(whole), " ".join(whole[:20])]
+    runs = ngram_join.runs_for(0.999, 0.8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    with np.errstate(over="ignore"):
+        chosen = next(ngram_join._describe(1, runs)(iter([batch]))).column("chosen").to_pylist()
+    deep = lambda a, b: any(all(set(a[k]) & set(b[k]) for k in range(r * ngram_join.DEPTH, (r + 1) * ngram_join.DEPTH)) for r in range(runs))
+    assert sum(not deep(chosen[2 * i], chosen[2 * i + 1]) for i in range(pairs)) <= 0.002 * pairs
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (300, 200), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
