@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
 1. Candidate lexicon entries (words, and prefixes of 4 to 6 letters for word families) are
-   mined from a sample of at most `max_labelled` labelled rows, by log-likelihood ratio.
+   mined from all labelled training rows, by log-likelihood ratio.
 2. Lexicons, a general word list and patterns vote toxic, clean or abstain on every training
    document; the histogram of vote patterns (3 ** voters rows at most) goes to the driver.
 3. A generative label model (EM) estimates the voters' accuracies, and then the correlations
    that remain given the class; correlated voters share their weight.
-4. A linear classifier on the lexicon entries is trained on the model's posterior labels.
+4. A linear classifier on the lexicon entries is trained on the model's posterior labels of all
+   labelled training rows; rows of the same entries and label are counted, so that those without
+   any entry reach the driver as one.
 
 Rows with crc32(doc_id) mod 5 = 0 are held out of all training. Scores read the text only.
 
@@ -45,8 +47,8 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def mine(labelled: DataFrame, limit: int = 4000, least: int = 3, llr: float = 25.0) -> list[str]:
-    """Entries that stand in toxic texts (toxic = 1) far more often than in others; at most `limit`."""
+def mine(labelled: DataFrame, least: int = 3, llr: float = 25.0) -> list[str]:
+    """Entries that stand in `least` toxic texts (toxic = 1) or more, and by the likelihood ratio far more often than in others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
@@ -69,8 +71,8 @@ def mine(labelled: DataFrame, limit: int = 4000, least: int = 3, llr: float = 25
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     ea, eb = (a + b) * (ta / (ta + tb)), (a + b) * (tb / (ta + tb))
     ratio = 2 * (part(a, ea) + part(b, eb) + part(ta - a, ta - ea) + part(tb - b, tb - eb))
-    found = n.where((F.col("entry") != "") & (a >= max(least, 0.03 * ta)) & ((a + 0.5) / (ta + 1) > 50 * (b + 0.5) / (tb + 1)) & (ratio >= llr))
-    return [r["entry"] for r in found.orderBy(ratio.desc(), "entry").limit(limit).collect()]
+    found = n.where((F.col("entry") != "") & (a >= least) & ((a + 0.5) / (ta + 1) > 6 * (b + 0.5) / (tb + 1)) & (ratio >= llr))
+    return [r["entry"] for r in found.orderBy(ratio.desc(), "entry").collect()]
 
 
 def _counted(clean: Counter, toxic: Counter) -> pa.RecordBatch:
@@ -154,28 +156,25 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     return toxic, {"accuracy": {v: float(p[0, k, 2] / max(1e-9, p[0, k, 2] + p[1, k, 2])) for k, v in enumerate(VOTERS)}, "correlation": rho.tolist()}
 
 
-def train_linear(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary entries against posterior labels (full-batch Adagrad)."""
+def train_linear(rows: list[list[int]], target: np.ndarray, size: int, weight: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on binary entries against posterior labels (full-batch Adagrad); weight: how often each row occurs."""
     at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)] or [[]]).astype(int)
     ids = np.concatenate([np.array(r, int) for r in rows] or [np.zeros(0, int)]).astype(int)
-    w, bias, n = np.zeros(size), -2.0, max(1, len(rows))
+    w, bias, n = np.zeros(size), -2.0, max(1.0, weight.sum())
     sw, sb = np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
         z = bias + np.bincount(at, w[ids], len(rows))
-        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / n
+        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * weight / n
         gw, gb = np.bincount(ids, err[at], size) + l2 * w / n, err.sum()
         sw, sb = sw + gw**2, sb + gb**2
         w, bias = w - 0.5 * gw / np.sqrt(sw), bias - 0.5 * gb / np.sqrt(sb)
     return w, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000) -> dict:
-    """docs (doc_id, text), labels (doc_id, toxic). max_labelled bounds mining and the classifier's training rows;
-    the label model counts votes of all documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """docs (doc_id, text), labels (doc_id, toxic). Mining and the classifier read all labelled rows, and
+    the label model counts votes of all documents, that are not held out."""
     known = labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
     labelled = materialize(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"), "labelled")
     names = mine(labelled)
     rate = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -195,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000) -> dict:
     toxic, about = label_model(votes, np.array([r["n"] for r in found], float), prior)
     posterior = {tuple(v): float(t) for v, t in zip(votes.tolist(), toxic)}
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linear_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(names)
         for b in batches:
             ids, target = [], []
@@ -206,9 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000) -> dict:
                 target.append(posterior.get(lexicon.votes(words, *hits), prior))
             yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.list_(pa.int32())), "target": pa.array(target, pa.float64())})
 
-    rows = labelled.select("text").mapInArrow(sample, "ids array<int>, target double").collect()
+    rows = labelled.select("text").mapInArrow(linear_rows, "ids array<int>, target double").groupBy("ids", "target").agg(F.count("*").alias("n")).orderBy("ids", "target").collect()
     size = len(Lexicon(names).names)
-    w, bias = train_linear([r["ids"] for r in rows], np.array([r["target"] for r in rows], float), size)
+    w, bias = train_linear([r["ids"] for r in rows], np.array([r["target"] for r in rows], float), size, np.array([r["n"] for r in rows], float))
     if not rows:
         w, bias = np.full(size, 4.0), -2.0
     return {"names": names, "weights": w.tolist(), "bias": bias, "label_model": about}

@@ -281,6 +281,22 @@ def test_toxicity(spark, empty):
     assert [r.predicted for r in toxicity.score(spark.createDataFrame([(1, "you stupid scum", "", "", 1), (2, "good day", "", "", 1)], SCHEMA), model).orderBy("doc_id").collect()] == [1, 0]
 
 
+def test_toxicity_of_rare_words(spark):
+    """Each of 50 insults is in 2 % of the toxic texts."""
+    rnd = random.Random(10)
+    rows, labels = [], []
+    for i in range(6000):
+        toxic = i % 6 == 0
+        rows.append((i, words(rnd, 20, 300) + (f" {chr(97 + i // 6 % 25)}{'xq'[i // 150 % 2]}zut" if toxic else ""), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known)
+    insults = {t.split()[-1] for _, t, *_ in rows if t.endswith("zut")}
+    assert len(insults) == 50 and insults <= set(model["names"])
+    held = [r for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r.predicted == (r.doc_id % 6 == 0) for r in held) / len(held) > 0.98
+
+
 def test_bpe(docs, rows, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
