@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,19 +20,25 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 _shipped: set[str] = set()
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, whatever their search path; once for each application."""
+    """Gives the executors this package, whatever their search path; once for each application.
+
+    Every operator that runs Python on the executors calls it.
+    """
     if spark.sparkContext.applicationId in _shipped:
         return
     _shipped.add(spark.sparkContext.applicationId)
     package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    folder = Path(tempfile.mkdtemp())
+    target = folder / f"{package.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(target))  # Spark serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,12 +57,38 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to a new folder of the shared one, and read again; and that folder."""
     ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    out, path = write(df, name)
+    if (made := _scratch.get()) is not None:
+        made.append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end."""
+    made: list[str] = []
+    token = _scratch.set(made)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove(spark, made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:
