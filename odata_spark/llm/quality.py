@@ -2,8 +2,11 @@
 
 Native: features and votes are DataFrame expressions. The only thing that reaches the
 driver is the histogram of vote patterns, at most 3 ** len(RULES) rows whatever the input.
-Expectation-maximisation on it estimates each rule's vote probabilities given good or bad
-text (with abstention as a third outcome); the posterior replaces all-must-pass filtering.
+The rules' bounds are tight, so that each also errs on good text. Expectation-maximisation on
+the histogram estimates how often each rule votes against good and against bad text, from a
+start in which rules are better than chance, with a prior worth PRIOR_ROWS rows at any size.
+An abstention tells nothing. The posterior replaces all-must-pass filtering: a rule that also
+fires on good text, or one vote against many, does not reject a document.
 
 Defined results: a null text has no words, so it fails the base rule. Repeated rows are
 scored alike. An empty table gives an empty table with the prior model. Columns are added;
@@ -21,16 +24,26 @@ from pyspark.sql import functions as F
 from .common import UPPER, WS, text_or_empty
 
 WINDOW = 8
+PRIOR_ROWS = 20.0
+#: Frequent function words of English, German, French and Spanish.
+FUNCTION_WORDS = (
+    "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their "
+    "der die das und ist nicht mit ein eine zu von im den dem auf für sich des es auch als an werden aus er hat dass sie nach wird bei um am "
+    "le la les et est un une que qui dans pour pas au sur ne se ce il sont avec plus par de du en "
+    "el los las y una por con para su del lo como más pero sus ha me si sin sobre este ya entre cuando todo"
+).split()
 #: name, value, good if value in [lo, hi], bad if value < low or > high (else abstain).
 RULES = [
-    ("length", lambda c: c("n_words"), 50, math.inf, 20, math.inf),
-    ("word_length", lambda c: c("word_chars") / c("n_words"), 3, 12, 2, 20),
-    ("symbols", lambda c: c("n_symbols") / c("n_words"), 0, 0.05, 0, 0.25),
-    ("dup_lines", lambda c: c("n_dup_lines") / c("n_word_lines"), 0, 0.3, 0, 0.6),
-    ("repeats", lambda c: c("n_repeat_words") / c("n_words"), 0, 0.1, 0, 0.3),
-    ("capitals", lambda c: c("n_capitals") / c("word_chars"), 0, 0.2, 0, 0.5),
-    ("shouting", lambda c: c("n_shouts") / c("n_words"), 0, 0.05, 0, 0.2),
-    ("distinct", lambda c: c("n_distinct") / F.sqrt(c("n_words")), 2.5, math.inf, 1.0, math.inf),
+    ("length", lambda c: c("n_words"), 100, math.inf, 50, math.inf),
+    ("word_length", lambda c: c("word_chars") / c("n_words"), 3.5, 8, 3, 10),
+    ("symbols", lambda c: c("n_symbols") / c("n_words"), 0, 0.02, 0, 0.1),
+    ("letters", lambda c: c("n_marks") / c("word_chars"), 0, 0.05, 0, 0.08),
+    ("dup_lines", lambda c: c("n_dup_lines") / c("n_word_lines"), 0, 0.1, 0, 0.2),
+    ("repeats", lambda c: c("n_repeat_words") / c("n_words"), 0, 0.05, 0, 0.1),
+    ("capitals", lambda c: c("n_capitals") / c("word_chars"), 0, 0.1, 0, 0.25),
+    ("shouting", lambda c: c("n_shouts") / c("n_words"), 0, 0.02, 0, 0.1),
+    ("distinct", lambda c: c("n_distinct") / F.sqrt(c("n_words")), 4, math.inf, 2.5, math.inf),
+    ("function_words", lambda c: c("n_function") / F.least(c("n_words"), F.lit(40.0)), 0.1, math.inf, 0.05, math.inf),
 ]
 VOTES = [f"vote_{r[0]}" for r in RULES]
 
@@ -42,7 +55,7 @@ def features(docs: DataFrame) -> DataFrame:
     optimiser would otherwise copy these long expressions into every condition on a verdict.
     """
     text = text_or_empty()
-    added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_capitals", "n_shouts", "n_distinct", *VOTES}
+    added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_capitals", "n_shouts", "n_distinct", "n_marks", "n_function", *VOTES}
     keep = [c for c in docs.columns if c not in added]
     solid = F.translate(text, WS, "")
     without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
@@ -54,6 +67,7 @@ def features(docs: DataFrame) -> DataFrame:
         without("#*$%&|<>").cast("long").alias("n_symbols"),
         without(UPPER + "ÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸÑÁÍÓÚ").cast("long").alias("n_capitals"),
         without("!").cast("long").alias("n_shouts"),
+        without("0123456789!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~").cast("long").alias("n_marks"),
     )
     n = F.size("__q_words")
     df = df.select("*", F.transform("__q_words", lambda w: F.xxhash64(w)).alias("__q_each"))
@@ -71,12 +85,13 @@ def features(docs: DataFrame) -> DataFrame:
     df = df.select("*", F.when(some, pairs).alias("__q_pairs"))
     df = df.select("*", F.when(F.col("__q_pairs").isNotNull(), found(F.col("__q_pairs"))).alias("__q_places"))
     df = df.select(
-        *keep, "word_chars", "n_symbols", "n_capitals", "n_shouts",
+        *keep, "word_chars", "n_symbols", "n_capitals", "n_shouts", "n_marks",
         n.cast("long").alias("n_words"),
         F.size("__q_lines").cast("long").alias("n_word_lines"),
         (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("__q_places").isNotNull(), covered(F.col("__q_places"))).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size(F.array_distinct("__q_words")).cast("long").alias("n_distinct"),
+        F.size(F.array_intersect(F.transform("__q_words", lambda w: F.rtrim(F.lower(w), F.lit(".,"))), F.array(*map(F.lit, FUNCTION_WORDS)))).cast("long").alias("n_function"),
     )
     positive = lambda c: F.nullif(F.col(c).cast("double"), F.lit(0.0))
     votes = {}
@@ -92,25 +107,34 @@ def features(docs: DataFrame) -> DataFrame:
     return df.withColumns(votes)
 
 
-def fit(feats: DataFrame, rounds: int = 60) -> dict:
-    """EM over the vote patterns; log-odds of each vote, and the prior's."""
+def fit(feats: DataFrame, rounds: int = 100) -> dict:
+    """EM over the vote patterns: log-odds of good text for each vote, the prior's, and both rates of each rule's votes."""
     rows = feats.groupBy(*VOTES).count().collect()
     votes = np.array([[r[v] for v in VOTES] for r in rows], dtype=int).reshape(-1, len(VOTES))
-    weight = np.array([r["count"] for r in rows], dtype=float)
-    one = votes[:, :, None] == np.array([-1, 0, 1])
-    # A pattern starts out bad as soon as one rule votes against it; rules are taken to be better than chance.
-    good = np.where((votes == -1).any(1), 0.05, 0.95)
-    # The rules' bounds are set so that good text hardly ever draws a vote against it: a firm prior. What bad text draws is learnt.
-    pseudo = (weight.sum() + 10) * np.array([[20.0], [1.0]]) * np.array([[0.0005, 0.05, 0.9495], [0.2, 0.05, 0.75]])
-    prior, p = 0.8, None
+    return estimate(votes, np.array([r["count"] for r in rows], dtype=float), rounds)
+
+
+def estimate(votes: np.ndarray, weight: np.ndarray, rounds: int = 100) -> dict:
+    """votes (patterns x rules, -1 bad, 0 abstains, 1 good) and how often each pattern occurs."""
+    against, cast = (votes == -1).astype(float), (votes != 0).astype(float)
+    # Better than chance: more votes against than a single one make a text likelier bad than good.
+    good = 1 / (1 + np.exp(2.0 * against.sum(1) - 3.0))
+    prior, rate = 0.9, np.zeros((2, len(VOTES)))
+    odds = np.zeros((2, len(VOTES)))
     for _ in range(rounds):
-        p = np.stack([np.einsum("p,pkv->kv", weight * y, one) + pseudo[i] for i, y in enumerate((good, 1 - good))])
-        p /= p.sum(-1, keepdims=True)
-        prior = ((weight * good).sum() + 8) / (weight.sum() + 10)
-        logs = np.log(p)
-        odds = math.log(prior / (1 - prior)) + np.einsum("pkv,kv->p", one, logs[0] - logs[1])
-        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-    return {"prior": math.log(prior / (1 - prior)), "odds": {v: [float(x) for x in logs[0][k] - logs[1][k]] for k, v in enumerate(VOTES)}}
+        # Beta priors of PRIOR_ROWS rows: of the votes cast, one in twenty errs on good text, and two in five find bad text.
+        for i, (y, p) in enumerate(((good, 0.05), (1 - good, 0.4))):
+            rate[i] = ((weight * y) @ against + PRIOR_ROWS * p) / ((weight * y) @ cast + PRIOR_ROWS)
+        prior = ((weight * good).sum() + 0.9 * PRIOR_ROWS) / (weight.sum() + PRIOR_ROWS)
+        odds[0] = np.minimum(np.log(rate[0] / rate[1]), 0)  # a rule may be worthless, but not worse than chance
+        odds[1] = np.maximum(np.log((1 - rate[0]) / (1 - rate[1])), 0)
+        z = math.log(prior / (1 - prior)) + against @ odds[0] + (cast - against) @ odds[1]
+        good = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    return {
+        "prior": math.log(prior / (1 - prior)),
+        "odds": {v: [float(odds[0][k]), 0.0, float(odds[1][k])] for k, v in enumerate(VOTES)},
+        "rates": {v: [float(rate[0][k]), float(rate[1][k])] for k, v in enumerate(VOTES)},
+    }
 
 
 def posterior(model: dict) -> Column:
