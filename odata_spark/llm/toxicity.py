@@ -1,24 +1,33 @@
 """Toxicity by weak supervision.
 
-1. Candidate lexicon entries (words, and prefixes of 4 to 6 letters for word families) are
-   mined from all labelled training rows, by log-likelihood ratio.
-2. Lexicons, a general word list and patterns vote toxic, clean or abstain on every training
-   document; the histogram of vote patterns (3 ** voters rows at most) goes to the driver.
-3. A generative label model (EM) estimates the voters' accuracies, and then the correlations
-   that remain given the class; correlated voters share their weight.
-4. A linear classifier on the lexicon entries is trained on the model's posterior labels of all
-   labelled training rows; rows of the same entries and label are counted, so that those without
-   any entry reach the driver as one.
+1. Entries (words, their beginnings, and runs of four characters inside them) are counted over all
+   labelled training rows; those that the likelihood ratio finds far more often in toxic texts are
+   mined, CAPACITY of them at most, the strongest first (a documented bound of the model's size). A
+   beginning counts as a family only if no single word makes up most of its texts. Fixed words that
+   labelled rows show to be ordinary ones do not vote.
+2. Voters of different evidence vote toxic, clean or abstain on every training document: fixed
+   lexicons by kind, mined words, mined families (one word in a hundred or more), several different
+   words of any of these, masked words, insults addressed to somebody, threats, shouting, repeated
+   punctuation, and the absence of all of it.
+3. A generative label model (EM on the histogram of vote patterns, 3 ** len(VOTERS) rows at most)
+   estimates each voter's rates on toxic and clean text from all training documents, the labelled
+   ones counted with their class besides (semi-supervised EM) and a prior worth PRIOR_ROWS rows, and
+   then the correlations that remain given the class; correlated voters share their weight.
+4. A linear classifier on words, character runs and patterns is trained by Spark on the posterior
+   labels of all training documents. Each fixed word and pattern counts as PSEUDO toxic texts
+   more, so that one the corpus lacks is not without weight.
 
 Rows with crc32(doc_id) mod 5 = 0 are held out of all training. Scores read the text only.
 
 Defined results: a null or empty text has no entries and gets the classifier's intercept.
-Without labels the general list alone decides. Repeated rows get equal scores. An empty table
-gives an empty table. Columns are added; on a clash the computed column wins.
+Without labels the fixed lexicons and patterns decide. Repeated rows get equal scores. An empty
+table gives an empty table. The two computed columns are added under `names`; on a clash the
+computed column wins.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,15 +36,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod, materialize
+from .common import crc_mod, materialize, ship
 
 _WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
-MISSES = 400_000
-#: A general list of insults.
-GENERAL = frozenset("idiot idiots moron morons stupid scum loser losers pathetic worthless trash disgusting dumb imbecile bastard bitch asshole fuck fucking shit whore slut retard retarded faggot vermin subhuman arschloch idioten dummkopf abschaum hurensohn wichser connard salope imbécile enculé crétin gilipollas puta cabrón imbécil estúpido".split())
-VOTERS = ("words0", "words1", "words2", "families0", "families1", "general", "many", "dense", "none")
+GRAM, GRAM_SCALE = 4, 0.3
+BEGINNINGS = (4, 5, 6)
+CAPACITY, MEMO = 200_000, 400_000
+PRIOR_ROWS, PSEUDO, RIDGE = 20.0, 3.0, 0.2
+#: What tells the classes apart: of toxic texts, so many at most show no voter anything.
+SILENT = 0.1
+#: General lists of insults, by kind.
+LEXICONS = {
+    "stupid": frozenset("idiot idiots idiotic moron morons stupid dumb dumbass imbecile imbeciles clown clowns dimwit halfwit retard retarded brainless dummkopf idioten schwachkopf trottel crétin crétins imbécile abruti estúpido estúpida imbécil tonto".split()),
+    "contempt": frozenset("scum loser losers pathetic worthless useless trash filth filthy disgusting vermin subhuman parasite parasites maggot maggots swine abschaum dreck miststück wertlos ordure minable misérable escoria basura asqueroso despreciable".split()),
+    "obscene": frozenset("bastard bastards bitch bitches asshole assholes fuck fucking fucker fucked shit bullshit whore whores slut sluts cunt dickhead faggot faggots arschloch arschlöcher hurensohn wichser fotze scheiße connard connards salope enculé putain merde gilipollas puta cabrón mierda pendejo".split()),
+}
+YOU = frozenset("you your youre u ya du dich dir euch ihr tu te toi vous eres usted ustedes vosotros".split())
+THREAT = re.compile(
+    r"\b(?:i|we|they) (?:will|ll|am going to|are going to|gonna|shall|want to) (?:\w+ )?(?:kill|hurt|beat|destroy|smash|break|murder|stab|shoot|burn|crush) (?:you|your|u|him|her|them)\b"
+    r"|\byou (?:will|ll|should|deserve to|are going to|must) (?:\w+ )?(?:die|suffer|burn|bleed|pay|regret)\b|\b(?:kill|hang|drown) yourself\b|\bgo (?:to hell|die)\b"
+    r"|\bich (?:werde|will|bring|bringe|mach|mache) (?:dich|euch) (?:um|fertig|kaputt|töten|schlagen)\b|\bje vais (?:te|vous) (?:tuer|frapper|détruire)\b|\b(?:te|os) voy a (?:matar|golpear|destruir)\b"
+)
+#: A threat needs one of these words, so that others' texts need no pattern.
+THREAT_WORDS = frozenset("kill hurt beat destroy smash break murder stab shoot burn crush die suffer bleed pay regret yourself hell um fertig kaputt töten schlagen tuer frapper détruire matar golpear destruir".split())
+_MASKED = re.compile(r"(?<![^\s\"'(,.])[a-z]+(?:[*@$#!0-9]+[a-z]*)+")
+_LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i"})
+_SHOUT = re.compile(r"\b[A-Z]{3,}\b")
+VOTERS = (*LEXICONS, "mined", "family", "several", "masked", "addressed", "threat", "shouting", "punctuation", "nothing")
+PATTERNS = ("family", "several", "masked", "addressed", "threat", "shouting", "punctuation")
+FIXED = frozenset().union(*LEXICONS.values())
+_ALL_BY_LENGTH: dict[int, list[str]] = {}
+for _w in sorted(FIXED):
+    _ALL_BY_LENGTH.setdefault(len(_w), []).append(_w)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,36 +77,69 @@ def words_of(text: str | None) -> list[str]:
 
 
 def entries(word: str) -> list[str]:
-    """What may stand in a lexicon for a word: itself, and its prefixes marked with a star."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
-
-
-def mine(labelled: DataFrame, least: int = 3, llr: float = 25.0) -> list[str]:
-    """Entries that stand in `least` toxic texts (toxic = 1) or more, and by the likelihood ratio far more often than in others."""
+    """The word; marked with a star its beginnings, and with a tilde the runs of GRAM characters of it and its bounds."""
+    if len(word) < GRAM:
+        return [word]
+    whole = f"<{word}>"
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k), *("~" + whole[i : i + GRAM] for i in range(len(whole) - GRAM + 1))]
+
+
+def unmasked(raw: str) -> bool:
+    """Whether a word with masked letters inside can be one of the fixed lists."""
+    plain = raw.translate(_LEET)
+    if not raw[-1].isalpha():
+        return False
+    if "*" not in plain and "#" not in plain:
+        return plain in FIXED
+    if 2 * sum(c in "*#" for c in plain) > len(plain):
+        return False
+    pattern = re.compile("".join("." if c in "*#" else re.escape(c) for c in plain))
+    return any(pattern.fullmatch(w) for w in _ALL_BY_LENGTH.get(len(plain), ()))
+
+
+def mine(labelled: DataFrame, least: int = 3, llr: float = 25.0, times: float = 6.0, capacity: int = CAPACITY) -> tuple[list[str], list[str]]:
+    """Entries of `least` toxic texts (toxic = 1) or more that are by the likelihood ratio far more frequent there than in
+    others; and the fixed words that labelled texts show to be ordinary ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
+        memo: dict[str, list[str]] = {}
         for b in batches:
-            for text, toxic in zip(b.column(0), b.column(1)):
-                counts[int(toxic.as_py() == 1)].update({e for w in set(words_of(text.as_py())) for e in entries(w)})
-                counts[int(toxic.as_py() == 1)][""] += 1  # the texts themselves
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
+                found: set[str] = set()
+                for w in set(words_of(text.as_py())):
+                    if w not in memo:
+                        if len(memo) > MEMO:
+                            memo.clear()
+                        memo[w] = entries(w)
+                    found.update(memo[w])
+                counts[toxic == 1].update(found)
+                counts[toxic == 1][""] += 1  # the texts themselves
+            if len(counts[0]) + len(counts[1]) > MEMO:
                 yield _counted(*counts)
                 counts = Counter(), Counter()
         yield _counted(*counts)
 
     n = labelled.select("text", "toxic").mapInArrow(run, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
-    n = materialize(n, "toxic_entries")
+    n = materialize(n.where((F.col("a") >= least) | F.col("entry").isin("", *sorted(FIXED))), "toxic_entries")
     total = n.where("entry = ''").first()
     if total is None or not total["a"] or not total["b"]:
-        return []
+        return [], []
     ta, tb = float(total["a"]), float(total["b"])
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     ea, eb = (a + b) * (ta / (ta + tb)), (a + b) * (tb / (ta + tb))
     ratio = 2 * (part(a, ea) + part(b, eb) + part(ta - a, ta - ea) + part(tb - b, tb - eb))
-    found = n.where((F.col("entry") != "") & (a >= least) & ((a + 0.5) / (ta + 1) > 6 * (b + 0.5) / (tb + 1)) & (ratio >= llr))
-    return [r["entry"] for r in found.orderBy(ratio.desc(), "entry").collect()]
+    often = (a + 0.5) / (ta + 1) > times * (b + 0.5) / (tb + 1)
+    found = n.where((F.col("entry") != "") & (a >= least) & often & (ratio >= llr)).orderBy(ratio.desc(), "entry").limit(capacity).collect()
+    largest: Counter = Counter()
+    for r in found:
+        if r["entry"][-1] != "*" and r["entry"][0] != "~":
+            for k in BEGINNINGS:
+                largest[r["entry"][:k] + "*"] = max(largest[r["entry"][:k] + "*"], r["a"])
+    mined = [r["entry"] for r in found if r["entry"][-1] != "*" or 2 * largest[r["entry"]] < r["a"]]
+    ordinary = n.where(F.col("entry").isin(*sorted(FIXED)) & (b >= least) & ((a + 0.5) / (ta + 1) < 2 * (b + 0.5) / (tb + 1)))
+    return mined, sorted(r["entry"] for r in ordinary.collect())
 
 
 def _counted(clean: Counter, toxic: Counter) -> pa.RecordBatch:
@@ -80,153 +147,192 @@ def _counted(clean: Counter, toxic: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"entry": pa.array(keys, pa.string()), "clean": pa.array([clean[k] for k in keys], pa.int64()), "toxic": pa.array([toxic[k] for k in keys], pa.int64())})
 
 
-class Lexicon:
-    def __init__(self, mined: list[str]):
-        self.names = [*mined, *sorted(GENERAL - set(mined))]
-        self.index = {e: i for i, e in enumerate(self.names)}
-        self.voter = []
-        for e in self.names:
-            own = [3 + (sum(map(ord, e)) & 1)] if e.endswith("*") else [sum(map(ord, e)) % 3] if e in set(mined) else []
-            self.voter.append((*own, *([5] if e in GENERAL else [])))
-        self.hit: dict[str, tuple[int, ...]] = {}
-        self.miss: set[str] = set()
-
-    def hits(self, words: list[str]) -> tuple[set[int], int]:
-        """Indices of entries that the text holds, and how many of its different words have one."""
-        found: set[int] = set()
-        n = 0
-        for w in set(words) - self.miss:
-            ids = self.hit.get(w)
-            if ids is None:
-                ids = tuple(self.index[e] for e in entries(w) if e in self.index)
-                if not ids:
-                    if len(self.miss) > MISSES:
-                        self.miss.clear()
-                    self.miss.add(w)
-                    continue
-                if len(self.hit) < MISSES:
-                    self.hit[w] = ids
-            found.update(ids)
-            n += 1
-        return found, n
-
-    def votes(self, words: list[str], found: set[int], n: int) -> tuple[int, ...]:
+class Reader:
+    """Finds the entries of a text that the model knows, its patterns, and the voters' votes."""
+
+    def __init__(self, mined: list[str], ordinary: list[str] = ()):
+        self.mined, self.ordinary = frozenset(mined), frozenset(ordinary)
+        self.known = self.mined | FIXED
+        self.memo: dict[str, tuple[tuple[str, ...], int]] = {}
+        self.bits = {k: 1 << i for i, k in enumerate((*LEXICONS, "mined", "family"))}
+
+    def word(self, w: str) -> tuple[tuple[str, ...], int]:
+        """Known entries of the word, and the bits of the voters that it moves."""
+        own = entries(w)
+        found = tuple(e for e in own if e in self.known)
+        bits = sum(self.bits[k] for k, words in LEXICONS.items() if w in words and w not in self.ordinary)
+        if any(e[-1] == "*" for e in found):
+            bits |= self.bits["family"]
+        elif w in self.mined:
+            bits |= self.bits["mined"]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        self.memo[w] = found, bits
+        return found, bits
+
+    def read(self, text: str | None) -> tuple[list[str], set[str]]:
+        """Known entries (once for each different word that has them), and names of the voters that say toxic."""
+        text = text or ""
+        low = text.lower()
+        words = _WORD.findall(low)
+        found: list[str] = []
+        bits, hits, family = 0, {}, self.bits["family"]
+        memo, distinct = self.memo, set(words)
+        for w in distinct:
+            some, b = memo.get(w) or self.word(w)
+            if some:
+                found += some
+            if b:
+                bits |= b
+                hits[w] = b
+        votes = {k for k, b in self.bits.items() if bits & b}
+        if bits & family and 100 * sum(hits.get(w, 0) & family > 0 for w in words) < len(words):
+            votes.discard("family")  # a chance find in a long text
+            hits = {w: b for w, b in hits.items() if b != family}
+        if len(hits) > 1:
+            votes.add("several")
+        if any(c in text for c in "*@$#0134") and any(unmasked(m) for m in _MASKED.findall(low)):
+            votes.add("masked")
+        if hits and not YOU.isdisjoint(distinct) and any(hits.get(w, family) != family and not YOU.isdisjoint(words[max(0, i - 4) : i]) for i, w in enumerate(words)):
+            votes.add("addressed")
+        if not THREAT_WORDS.isdisjoint(distinct) and THREAT.search(" ".join(words)):
+            votes.add("threat")
+        if "!!" in text or "??" in text or "!?" in text:
+            votes.add("punctuation")
+        if (n := len(_SHOUT.findall(text))) >= 3 and 5 * n >= len(words):
+            votes.add("shouting")
+        return found + ["^" + p for p in PATTERNS if p in votes], votes
+
+    @staticmethod
+    def votes(said: set[str]) -> tuple[int, ...]:
         """1 toxic, -1 clean, 0 abstains, in the order of VOTERS."""
-        v = [0] * len(VOTERS)
-        for i in found:
-            for k in self.voter[i]:
-                v[k] = 1
-        v[6] = 1 if n >= 3 else 0
-        v[7] = 1 if n and 100 * n >= len(words) else 0
-        v[8] = 0 if n else -1
+        v = [int(k in said) for k in VOTERS]
+        v[-1] = -1 if said <= {"shouting", "punctuation"} else 0
         return tuple(v)
 
 
-def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, dict]:
-    """Posterior of each vote pattern; accuracies and correlations of the voters."""
-    one = votes[:, :, None] == np.array([-1, 0, 1])
-    any_toxic = (votes == 1).sum(1)
-    toxic = np.where(any_toxic > 0, 0.9, 0.05) if len(votes) else np.zeros(0)
-    total = weight.sum() + 1
-    # Voters are taken to be better than chance, and a vote for toxic to be rare on clean text.
-    pseudo = 0.2 * total * np.stack([prior * np.tile([0.02, 0.5, 0.48], (votes.shape[1], 1)), (1 - prior) * np.tile([0.49, 0.505, 0.005], (votes.shape[1], 1))])
-    pseudo[0, -1] = total * np.array([0.02, 0.97, 0.01])  # toxic text without any entry is rare: this anchors the classes
-    share = np.ones(votes.shape[1])
-    rho = np.zeros((votes.shape[1],) * 2)
-    p = np.full((2, votes.shape[1], 3), 1 / 3)
+def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, gold: np.ndarray | None = None, rounds: int = 60) -> tuple[np.ndarray, dict]:
+    """Posterior of each vote pattern; rates and correlations of the voters.
+
+    prior: share of toxic texts among labelled ones; gold: for each pattern, how many labelled rows are toxic, and clean.
+    """
+    gold = np.zeros((len(votes), 2)) if gold is None else gold
+    votes = votes.reshape(-1, len(VOTERS))
+    one = np.stack([votes == -1, votes == 1], 2).astype(float)
+    style = np.array([v in ("shouting", "punctuation") for v in VOTERS])
+    # Voters are better than chance: any that names wording speaks for toxic, and none for clean.
+    toxic = np.where((votes[:, ~style] == 1).any(1), 0.9, 0.02)
+    share = np.ones(len(VOTERS))
+    rho = np.zeros((len(VOTERS),) * 2)
+    # Beta priors of PRIOR_ROWS rows for each voter's rate of saying anything.
+    before = np.array([[0.25] * (len(VOTERS) - 1) + [0.02], [0.01] * (len(VOTERS) - 1) + [0.9]])
+    says = np.array([1] * (len(VOTERS) - 1) + [0])  # which of the two votes each voter can give
+    rate, odds = before.copy(), np.zeros(len(VOTERS))
+    cast = one[:, np.arange(len(VOTERS)), says]
     for turn in range(2):
         for _ in range(rounds):
-            p = np.stack([np.einsum("p,pkv->kv", weight * y, one) for y in (toxic, 1 - toxic)]) + pseudo
-            p /= p.sum(-1, keepdims=True)
-            rate = ((weight * toxic).sum() + prior * 0.2 * total) / (1.2 * total)
-            ratio = np.log(p[0]) - np.log(p[1])
-            ratio[:, 0], ratio[:, 1], ratio[:, 2] = np.minimum(ratio[:, 0], 0), 0, np.maximum(ratio[:, 2], 0)  # abstaining tells nothing
-            odds = np.log(rate / (1 - rate)) + np.einsum("pkv,kv,k->p", one, ratio, share)
-            toxic = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+            for i, y in enumerate((toxic, 1 - toxic)):
+                known = weight * y + gold[:, i]
+                rate[i] = (known @ cast + PRIOR_ROWS * before[i]) / (known.sum() + PRIOR_ROWS)
+            rate[0, -1] = min(rate[0, -1], SILENT)
+            ratio = np.log(rate[0] / rate[1])
+            odds = np.where(says == 1, np.maximum(ratio, 0), np.minimum(ratio, 0))  # abstaining tells nothing
+            total = weight.sum()
+            p = ((weight * toxic).sum() + PRIOR_ROWS * prior) / (total + PRIOR_ROWS)
+            p = min(max(p, 1e-4), 0.9)
+            z = math.log(p / (1 - p)) + cast @ (odds * share)
+            toxic = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         if turn == 0 and len(votes):
             for y in (toxic, 1 - toxic):
                 w = weight * y / max(1e-9, (weight * y).sum())
-                centred = votes - w @ votes
+                centred = cast - w @ cast
                 cov = (centred * w[:, None]).T @ centred
                 scale = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
                 rho = np.maximum(rho, cov / scale[:, None] / scale)
             np.fill_diagonal(rho, 0)
-            share = 1 / (1 + np.clip(rho, 0, 1).sum(1))
-            share = np.maximum(share, 0.34)
-    return toxic, {"accuracy": {v: float(p[0, k, 2] / max(1e-9, p[0, k, 2] + p[1, k, 2])) for k, v in enumerate(VOTERS)}, "correlation": rho.tolist()}
-
-
-def train_linear(rows: list[list[int]], target: np.ndarray, size: int, weight: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary entries against posterior labels (full-batch Adagrad); weight: how often each row occurs."""
-    at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)] or [[]]).astype(int)
-    ids = np.concatenate([np.array(r, int) for r in rows] or [np.zeros(0, int)]).astype(int)
-    w, bias, n = np.zeros(size), -2.0, max(1.0, weight.sum())
-    sw, sb = np.full(size, 1e-8), 1e-8
-    for _ in range(rounds):
-        z = bias + np.bincount(at, w[ids], len(rows))
-        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * weight / n
-        gw, gb = np.bincount(ids, err[at], size) + l2 * w / n, err.sum()
-        sw, sb = sw + gw**2, sb + gb**2
-        w, bias = w - 0.5 * gw / np.sqrt(sw), bias - 0.5 * gb / np.sqrt(sb)
-    return w, float(bias)
+            share = np.maximum(1 / (1 + np.clip(rho, 0, 1).sum(1)), 0.34)
+    return toxic, {"rates": {v: [float(rate[0, k]), float(rate[1, k])] for k, v in enumerate(VOTERS)}, "odds": odds.tolist(), "correlation": rho.tolist()}
+
+
+def train_linear(rows: DataFrame, names: list[str], ordinary: list[str] = ()) -> tuple[dict[str, float], float]:
+    """rows (entries, target, n) -> weight of each name, and the intercept, by Spark's logistic regression.
+
+    A row counts as n * target toxic and n * (1 - target) clean ones. The ridge is that of RIDGE
+    rows whatever the number of rows.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+    from pyspark.ml.linalg import Vectors
+
+    spark = rows.sparkSession
+    pseudo = [([x], 1.0, PSEUDO) for x in [*sorted(FIXED - set(ordinary)), "^masked", "^addressed", "^threat"]] + [([], 0.0, PSEUDO * len(FIXED))]
+    pseudo = spark.createDataFrame(pseudo, "entries array<string>, target double, n double")
+    both = rows.select("entries", "target", F.col("n").cast("double").alias("n")).union(pseudo)
+    both = both.select("entries", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("target")).alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("target"))).alias("weight")))).alias("x"))
+    both = materialize(both.select("entries", "x.label", "x.weight").where("weight > 0"), "toxic_rows")
+    total = both.agg(F.sum("weight")).first()[0]
+    counted = CountVectorizerModel.from_vocabulary(names, inputCol="entries", outputCol="counts").setMinTF(0.0).transform(both)
+    scale = Vectors.dense([GRAM_SCALE if x.startswith("~") else 1.0 for x in names])
+    scaled = ElementwiseProduct(scalingVec=scale, inputCol="counts", outputCol="features").transform(counted)
+    model = LogisticRegression(maxIter=60, regParam=RIDGE / total, standardization=False, weightCol="weight").fit(scaled.select("features", "label", "weight"))
+    found = model.coefficients.toArray()
+    return {x: float(w * (GRAM_SCALE if x.startswith("~") else 1.0)) for x, w in zip(names, found)}, float(model.intercept)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """docs (doc_id, text), labels (doc_id, toxic). Mining and the classifier read all labelled rows, and
-    the label model counts votes of all documents, that are not held out."""
+    """docs (doc_id, text), labels (doc_id, toxic). Mining reads all labelled rows that are not held out; the label
+    model and the classifier all documents that are not."""
+    spark = docs.sparkSession
+    ship(spark)
     known = labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labelled = materialize(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"), "labelled")
-    names = mine(labelled)
+    mined, ordinary = mine(labelled)
     rate = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = min(0.5, max(0.01, rate if rate is not None else 0.05))
+    shared = spark.sparkContext.broadcast((mined, ordinary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, patterns = Lexicon(names), Counter()
+        """text (and toxic) -> entries, votes (and toxic)"""
+        reader = Reader(*shared.value)
         for b in batches:
+            found, votes = [], []
             for text in b.column(0):
-                words = words_of(text.as_py())
-                patterns[lexicon.votes(words, *lexicon.hits(words))] += 1
-        yield pa.RecordBatch.from_pydict({"votes": pa.array(map(list, patterns), pa.list_(pa.int8())), "n": pa.array(patterns.values(), pa.int64())})
+                some, said = reader.read(text.as_py())
+                found.append(sorted(some))
+                votes.append(list(reader.votes(said)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(votes, pa.list_(pa.int8())), *b.columns[1:]], ["entries", "votes", *b.schema.names[1:]])
 
     training = docs.where(crc_mod(F.col("doc_id"), 5) != 0).select("text")
-    found = training.mapInArrow(run, "votes array<tinyint>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+    rows = training.mapInArrow(run, "entries array<string>, votes array<tinyint>").groupBy("entries", "votes").agg(F.count("*").alias("n"))
+    rows = materialize(rows, "toxic_votes")
+    found = rows.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     votes = np.array([r["votes"] for r in found], int).reshape(-1, len(VOTERS))
-    toxic, about = label_model(votes, np.array([r["n"] for r in found], float), prior)
-    posterior = {tuple(v): float(t) for v, t in zip(votes.tolist(), toxic)}
-
-    def linear_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(names)
-        for b in batches:
-            ids, target = [], []
-            for text in b.column(0):
-                words = words_of(text.as_py())
-                hits = lexicon.hits(words)
-                ids.append(sorted(hits[0]))
-                target.append(posterior.get(lexicon.votes(words, *hits), prior))
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.list_(pa.int32())), "target": pa.array(target, pa.float64())})
-
-    rows = labelled.select("text").mapInArrow(linear_rows, "ids array<int>, target double").groupBy("ids", "target").agg(F.count("*").alias("n")).orderBy("ids", "target").collect()
-    size = len(Lexicon(names).names)
-    w, bias = train_linear([r["ids"] for r in rows], np.array([r["target"] for r in rows], float), size, np.array([r["n"] for r in rows], float))
-    if not rows:
-        w, bias = np.full(size, 4.0), -2.0
-    return {"names": names, "weights": w.tolist(), "bias": bias, "label_model": about}
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with `score` and `predicted`."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    names, weights, bias = model["names"], model["weights"], model["bias"]
+    seen = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "entries array<string>, votes array<tinyint>, toxic int").groupBy("votes", "toxic").count().collect()
+    at = {tuple(v): i for i, v in enumerate(votes.tolist())}
+    gold = np.zeros((len(votes), 2))
+    for r in seen:
+        gold[at[tuple(r["votes"])], 1 - r["toxic"]] += r["count"]
+    toxic, about = label_model(votes, np.array([r["n"] for r in found], float), prior, gold)
+    patterns = spark.createDataFrame([(v, float(t)) for v, t in zip(votes.tolist(), toxic)], "votes array<tinyint>, target double")
+    names = sorted(set(mined) | FIXED | {"^" + p for p in PATTERNS})
+    weights, bias = train_linear(rows.join(F.broadcast(patterns), "votes"), names, ordinary)
+    return {"names": mined, "ordinary": ordinary, "weights": weights, "bias": bias, "label_model": about}
+
+
+def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with the probability that a text is toxic, and whether it is 0.5 or more."""
+    ship(docs.sparkSession)
+    keep = [c for c in docs.columns if c not in names]
+    shared = docs.sparkSession.sparkContext.broadcast((model["names"], model["ordinary"], {k: w for k, w in model["weights"].items() if w}, model["bias"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(names)
+        mined, ordinary, weights, bias = shared.value
+        reader, weight = Reader(mined, ordinary), weights.get
         for b in batches:
             at = b.schema.get_field_index("text")
-            z = [bias + sum(weights[i] for i in sorted(lexicon.hits(words_of(t.as_py()))[0])) for t in b.column(at)]
+            z = [bias + sum(weight(e, 0.0) for e in sorted(reader.read(t.as_py())[0])) for t in b.column(at)]
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], [*keep, *names])
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return docs.select(*keep).mapInArrow(run, schema)
