@@ -1,15 +1,16 @@
 """Packing into optimal length buckets under a token budget.
 
-The global histogram of lengths goes to the driver on a bounded grid (exact up to EXACT
-tokens, then 256 steps to each doubling, so a few thousand rows at any corpus size); dynamic
-programming over it chooses at most `buckets` boundaries that minimise padding. Inside each
-bucket, documents are numbered in two levels (shards of bounded size, then offsets of the
-shards), so that no task holds a whole bucket, and batches take `budget // bucket_len`
+The global histogram of lengths goes to the driver in cells (exact up to EXACT tokens, then
+STEPS cells to each doubling, so a few thousand rows at any corpus size), each with the largest
+length that occurs in it; dynamic programming chooses at most `buckets` boundaries among these
+lengths that minimise padding. A boundary is thus always the length of its longest document.
+Inside each bucket, documents are numbered in two levels (shards of bounded size, then offsets
+of the shards), so that no task holds a whole bucket, and batches take `budget // bucket_len`
 documents each, one at least.
 
 Defined results: null or empty texts have the one end token. A document longer than the
 budget is a batch of its own, whole. Repeated rows each take a place. An empty table gives an
-empty table. Columns are added; on a clash the computed column wins.
+empty table. Only doc_id and text are read, and only doc_id and the computed columns returned.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def length_in_words(name: str = "text") -> Column:
 
 
 def ceil_on_grid(n: Column) -> Column:
-    """Smallest grid length that holds n."""
+    """The cell of a length."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(n.cast("double"))) - int(math.log2(STEPS)))
     return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long")).cast("long")
 
@@ -78,21 +79,21 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65536, shard: int = 20_000) -> DataFrame:
     """doc_id and ADDED, one row per row of docs. `length` defaults to words and an end token."""
-    sized = docs.select("doc_id", (length_in_words() if length is None else length).alias("n_tokens"))
+    # Rows without an id, or of one id, are dealt by their text.
+    sized = docs.select("doc_id", (length_in_words() if length is None else length).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("__key"))
     sized = materialize(sized, "lengths")
-    grid = ceil_on_grid(F.col("n_tokens"))
-    hist = sized.groupBy(grid.alias("grid")).count().orderBy("grid").collect()
+    hist = sized.groupBy(ceil_on_grid(F.col("n_tokens")).alias("cell")).agg(F.count("*").alias("count"), F.max("n_tokens").alias("longest")).orderBy("cell").collect()
     rows = sum(r["count"] for r in hist)
-    ends = optimal_boundaries(np.array([r["grid"] for r in hist]), np.array([r["count"] for r in hist]), buckets)
+    ends = optimal_boundaries(np.array([r["longest"] for r in hist]), np.array([r["count"] for r in hist]), buckets)
     bucket, size = F.lit(None).cast("int"), F.lit(None).cast("long")
     for k in reversed(range(len(ends))):
-        bucket = F.when(grid <= ends[k], k).otherwise(bucket)
-        size = F.when(grid <= ends[k], F.lit(ends[k]).cast("long")).otherwise(size)
+        bucket = F.when(F.col("n_tokens") <= ends[k], k).otherwise(bucket)
+        size = F.when(F.col("n_tokens") <= ends[k], F.lit(ends[k]).cast("long")).otherwise(size)
     shards = max(1, -(-rows // shard))
-    sized = sized.withColumns({"bucket": bucket, "bucket_len": size, "__shard": F.pmod(F.xxhash64("doc_id"), F.lit(shards))})
+    sized = sized.withColumns({"bucket": bucket, "bucket_len": size, "__shard": F.pmod("__key", F.lit(shards))})
     per = sized.groupBy("bucket", "__shard").count()  # rows / shard size x buckets rows at most
     offsets = per.select("bucket", "__shard", (F.sum("count").over(Window.partitionBy("bucket").orderBy("__shard")) - F.col("count")).alias("__before"))
-    numbered = sized.withColumn("__rn", F.row_number().over(Window.partitionBy("bucket", "__shard").orderBy("doc_id", "n_tokens")))
+    numbered = sized.withColumn("__rn", F.row_number().over(Window.partitionBy("bucket", "__shard").orderBy("doc_id", "n_tokens", "__key")))
     place = F.col("__before") + F.col("__rn") - 1
     cap = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bucket_len")))
     return numbered.join(offsets, ["bucket", "__shard"]).select(

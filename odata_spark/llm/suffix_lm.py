@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize
+from .common import crc_mod, materialize, ship
 
 DEPTH = 5  # symbols of context; with the next one they fit 64 bits
 LEAST, HOT, HOT_GRAM, GAIN, STRENGTH = 2, 1e-5, 1e-7, 12.0, 4.0
 LOW = 2  # contexts of up to so many symbols are known to every task
-END = b"\x00"  # the end token's word and symbol; a NUL in a text is counted as byte 1
+END = b"\x00"  # the end symbol; a NUL in a text is counted as byte 1
+END_WORD = b" "  # the end token among words, which hold no space
 SYMBOLS = 256
 MASK = np.uint64((1 << 48) - 1)
 CACHE_BITS = 18
@@ -80,7 +81,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = tokens(text.as_py())
             if training:
                 words.update(found)
-                words[END + END] += 1  # no text's token: NULs alone stay single words of other spelling
+                words[END_WORD] += 1
             grams[training].append(codes(found))
             size += len(grams[training][-1])
             if size > 4_000_000:
@@ -226,6 +227,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    ship(spark)
     held = crc_mod(F.col("doc_id"), mod) == rest
     counts = docs.select("text", (~held).alias("training")).mapInArrow(_count, "word binary, gram long, n long, places long")
     counts = materialize(counts.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("places").alias("places")), "lm_counts")
@@ -256,7 +258,7 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
             for row, text in zip(b.column(0), b.column(2)):
                 found = tokens(text.as_py())
                 count = Counter(found)
-                count[END + END] += 1
+                count[END_WORD] += 1
                 rare, here, total = [], 0, 0.0
                 for w, k in count.items():
                     if w in logs:
