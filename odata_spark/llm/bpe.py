@@ -7,7 +7,8 @@ fragments are encoded independently by merge rank and concatenated. Fragments an
 remembered in bounded tables.
 
 Defined results: a null or empty text has no tokens; repeated rows give equal values; an
-empty table gives an empty table; columns are added (on a clash the computed column wins).
+empty table gives an empty table; only doc_id and text are read, and only doc_id and the computed
+columns returned.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import ship
+
 MEMO = 300_000
 
 
@@ -33,9 +36,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec_json: str):
+        """spec_json: what the tokenizer's JSON file holds."""
+        spec = json.loads(spec_json)
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -55,7 +58,7 @@ class ForcedBoundaryBPE:
         # Letters beyond Latin Extended-B: classes and case follow the library's own Unicode tables.
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
+        whole = Tokenizer.from_str(spec_json)
         self.normalize, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.far = regex.compile("[^\\x00-\u024f]")
 
@@ -134,14 +137,20 @@ class ForcedBoundaryBPE:
         return " ".join([token[i] for i in ids])
 
 
-_loaded: dict[str, ForcedBoundaryBPE] = {}
+_loaded: dict[int, ForcedBoundaryBPE] = {}
 
 
 def load(path: str) -> ForcedBoundaryBPE:
-    """One per process and path."""
-    if path not in _loaded:
-        _loaded[path] = ForcedBoundaryBPE(path)
-    return _loaded[path]
+    with open(path, encoding="utf-8") as f:
+        return ForcedBoundaryBPE(f.read())
+
+
+def loaded(spec_json: str) -> ForcedBoundaryBPE:
+    """One per process and file."""
+    key = hash(spec_json)
+    if key not in _loaded:
+        _loaded[key] = ForcedBoundaryBPE(spec_json)
+    return _loaded[key]
 
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -149,10 +158,14 @@ SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of their decoded text; with_ids: the ids and the text too."""
+    spark = docs.sparkSession
+    ship(spark)
+    with open(path, encoding="utf-8") as f:  # the driver's file goes along with the job; its size does not depend on the documents
+        spec = spark.sparkContext.broadcast(f.read())
     more = ", ids array<int>, decoded string" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = loaded(spec.value)
         for b in batches:
             ids, counts, a, d, all_ids, texts = b.column(0), [], [], [], [], []
             for i in range(b.num_rows):

@@ -1,5 +1,9 @@
 """Media columns: Netpbm and BMP decoded to numpy arrays, area-resized by integral images, kept as NPY tiles with difference hashes.
 
+Texts become media columns too: their padded bytes are the samples of a Netpbm or BMP image,
+which is decoded and stored as full-size NPY tiles, one after the other; everything else is
+computed from those stored bytes read back.
+
 Defined results: a null text or media value counts as empty; bytes that no decoder reads give
 null columns, never a failed job. Repeated rows give equal values; an empty table gives an
 empty table; only the named columns are read, so extra columns cannot clash.
@@ -18,7 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import ship
+
 WIDTH = 64  # pixels of three samples: 192 bytes a row
+TILE = 64  # rows of a stored tile
 _FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*([0-9]+)")
 
 
@@ -119,8 +126,23 @@ def npy(array: np.ndarray) -> bytes:
     return buffer.getvalue()
 
 
+def store_tiles(image: np.ndarray, tile: int = TILE) -> bytes:
+    """The whole image as NPY tiles of `tile` rows and columns, in reading order; NPY says where each ends."""
+    h, w = image.shape[:2]
+    return b"".join(npy(image[r : r + tile, c : c + tile]) for r in range(0, h, tile) for c in range(0, w, tile))
+
+
+def read_tiles(stored: bytes, width: int, tile: int = TILE) -> np.ndarray:
+    buffer, rows = io.BytesIO(stored), []
+    while buffer.tell() < len(stored):
+        row = [np.load(buffer, allow_pickle=False) for _ in range(-(-width // tile))]
+        rows.append(row[0] if len(row) == 1 else np.concatenate(row, 1))
+    return rows[0] if len(rows) == 1 else np.concatenate(rows)
+
+
 def tiles(df: DataFrame, column: str = "media", key: str = "media_id", size: int = 32, tile: int = 16) -> DataFrame:
     """Each image resized to size x size and cut into NPY tiles: key, tile_row, tile_col, npy, dhash (nulls if unreadable)."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +166,9 @@ MEDIA_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_cr
 
 
 def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
-    """Each text's padded UTF-8 as a 64 pixel wide RGB Netpbm image, decoded again; digests and difference hash."""
+    """Each text's padded UTF-8 as a 64 pixel wide RGB image (BMP where its CRC is odd, else Netpbm), decoded and
+    stored as NPY tiles; digests of the stored bytes and what is read back of them, and its difference hash."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,8 +176,9 @@ def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
             for value in b.column(1):
                 data = (value.as_py() or "").encode("utf-8")
                 payload = data + b" " * (-len(data) % 192 or 192 * (not data))
-                media = encode_ppm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3))
-                image = decode(media)
+                samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
+                media = store_tiles(decode(encode_bmp(samples) if zlib.crc32(payload) & 1 else encode_ppm(samples)))
+                image = read_tiles(media, WIDTH)
                 back = image.tobytes()
                 row = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), media)
                 for column, x in zip(out, row):
