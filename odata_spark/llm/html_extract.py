@@ -1,11 +1,16 @@
 """HTML extraction with site template removal.
 
-Every element subtree is hashed; Spark counts, for each host, on how many different pages a
-hash recurs, and subtrees that recur on many pages of their host are deleted. What remains is
-read for its main content: the articles if there are any, else `main`, else the body, without
-elements whose tag or class says that they are furniture. Paragraphs and headings inside an
-article are content even if pages of a host repeat them (mirrored articles), so deletion there
-is left to containers.
+Every element subtree is hashed; Spark counts on how many different pages of its host each hash
+recurs, and subtrees that recur on `min_pages` pages or more are deleted first of all. What then
+remains is read for its main content: the articles if there are any, else `main`, else the body.
+Furniture that differs from page to page (adverts, comments) cannot recur, and small hosts have
+too few pages; so elements whose tag or class says that they are furniture go as well, unless
+they hold the content. Paragraphs and headings inside an article are content even if pages of a
+host repeat them (mirrored articles): deletion there is left to containers, and given up where
+it would leave nothing of the article.
+
+Hashes are counted by host, hash and page, and come back to each page as the list of its own
+recurring hashes; no row or task holds what belongs to a whole host.
 
 Defined results: a null or empty page gives ''. A page without a host counts under host ''.
 Repeated rows count once per host and content. An empty table gives an empty table. Only
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
 
+HOT = 1e-4
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _OPEN = re.compile(r"/?[a-zA-Z][^>]*(>)?")
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -34,39 +41,63 @@ RAW = frozenset("script style textarea title noscript iframe template svg math n
 DROPPED = RAW | frozenset("head nav header footer aside form button select option object menu dialog canvas audio video fieldset".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption address".split())
 BLOCK = TEXT | frozenset("html body div section article main ul ol dl table thead tbody tfoot tr figure hr center details summary hgroup".split()) | DROPPED
+_CLOSE = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in RAW}
 #: Words of a class or id that name furniture.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
 
 
+#: Classes that say of an article that it is not the page's own.
+NOT_CONTENT = frozenset("ad ads advert advertisement comment comments promo promoted recommended related reply sponsored teaser widget".split())
+#: Class words that say that something else has or lacks the furniture.
+ABOUT_OTHERS = ("no-", "has-", "with-", "without-", "no_", "has_", "with_", "without_")
+#: These may wrap a whole page.
+WRAPPERS = frozenset("form fieldset dialog menu".split())
+#: Elements that end where the next of their kind begins, within one table, list or section.
+SELF_CLOSING = frozenset("p li dt dd tr td th".split())
+
+
 class Node:
-    __slots__ = ("tag", "furniture", "children", "parent", "hash")
+    __slots__ = ("tag", "furniture", "children", "parent", "hash", "open", "holds", "dead", "inside")
 
-    def __init__(self, tag: str, parent: Node | None, furniture: bool = False):
+    def __init__(self, tag: str, parent: Node | None, furniture: int = 0):
         self.tag, self.parent, self.furniture, self.children, self.hash = tag, parent, furniture, [], 0
+        self.holds = self.dead = self.inside = False
+        # By tag, the open element that a new one of that tag ends; shared with the parent where nothing differs.
+        bound = tag == "td" or tag in BLOCK and tag not in TEXT
+        self.open: dict[str, Node] = {} if parent is None or bound else parent.open
+        if tag in SELF_CLOSING:
+            self.open = {**self.open, tag: self}
 
 
-def _furniture(tag: str, attrs: str) -> bool:
+def _furniture(tag: str, attrs: str) -> int:
+    """2: by its tag, 1: by its attributes, 0: not furniture."""
     if tag in DROPPED:
-        return True
+        return 2
     if not attrs or tag in ("html", "body"):
-        return False
+        return 0
     for name, a, b, c in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
-            return True
-        if name.lower() == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert"):
-            return True
-        if name.lower() in ("class", "id") and not FURNITURE.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return 1
+        if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "dialog", "alert"):
+            return 1
+        if name in ("class", "id"):
+            tokens = [t for t in value.split() if not t.startswith(ABOUT_OTHERS)]
+            if tag in ("article", "main"):
+                if not NOT_CONTENT.isdisjoint(tokens):
+                    return 1
+            elif any(not FURNITURE.isdisjoint(_WORD.findall(t)) for t in tokens):
+                return 1
+    return 0
 
 
 def parse(page: str) -> Node:
-    """A forgiving tree: unclosed paragraphs and items end where the next begins, stray end tags are ignored."""
+    """A forgiving tree: unclosed paragraphs and items end where the next begins, stray end tags are ignored. Linear in the page."""
     root = node = Node("#", None)
     at, end = 0, len(page)
+    opened: Counter = Counter()  # open elements by tag
     while at < end:
         m = _TOKEN.match(page, at)
         if m is None:  # a tag that never ends
@@ -82,33 +113,38 @@ def parse(page: str) -> Node:
         elif tag is None:
             continue
         elif slash:
-            tag, up = tag.lower(), node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            tag = tag.lower()
+            if opened[tag]:
+                node = _end(node, tag, opened)
             elif tag in ("p", "br"):
                 node.children.append(Node("br", node))
         else:
             tag = tag.lower()
-            if tag in BLOCK:
-                stop = ("p",) if tag not in ("li", "dt", "dd", "tr", "td", "th") else ("p", tag)
-                up = node
-                while up is not root and up.tag not in stop and (up.tag not in BLOCK or up.tag in TEXT and up.tag != "td"):
-                    up = up.parent
-                if up is not root and up.tag in stop:
-                    node = up.parent
+            if tag in BLOCK and (old := node.open.get(tag) if tag in SELF_CLOSING else None) or tag in BLOCK and (old := node.open.get("p")):
+                while node is not old.parent:
+                    opened[node.tag] -= 1
+                    node = node.parent
             new = Node(tag, node, _furniture(tag, attrs))
             node.children.append(new)
             if tag in RAW:
-                close = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
+                close = _CLOSE[tag].search(page, at)
                 new.children.append(page[at : close.start() if close else end])
                 at = close.end() if close else end
             elif tag not in VOID and not attrs.endswith("/"):
                 node = new
+                opened[tag] += 1
     return root
 
 
+def _end(node: Node, tag: str, opened: Counter) -> Node:
+    """The parent of the innermost open element of the tag."""
+    while True:
+        opened[node.tag] -= 1
+        if node.tag == tag:
+            return node.parent
+        node = node.parent
+
+
 def postorder(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:
@@ -138,30 +174,38 @@ def countable(nodes: list[Node]) -> set[int]:
 def extract(root: Node, templates: set[int] = frozenset()) -> str:
     """Text of the main content; nodes must be hashed if templates are given."""
     nodes = preorder(root)
-    dead: set[int] = set()
+    for n in reversed(nodes):  # children come before parents
+        if n.parent is not None and (n.holds or n.tag in ("article", "main") and not n.furniture):
+            n.parent.holds = True
+    text = _content(root, nodes, templates, True)
+    return text if text or not templates else _content(root, nodes, templates, False)
+
+
+def _content(root: Node, nodes: list[Node], templates: set[int], within: bool) -> str:
+    """within: whether recurring containers inside an article are deleted too."""
     for n in nodes:  # parents come before children
-        if n.parent is not None and id(n.parent) in dead:
-            dead.add(id(n))
-        elif n.furniture and n.tag != "article":
-            dead.add(id(n))
-        elif templates and n.hash in templates and n.tag in BLOCK and n.tag not in ("article", "main") and not (n.tag in TEXT and _inside(n)):
-            dead.add(id(n))
+        up = n.parent
+        n.inside = up is not None and (up.inside or up.tag in ("article", "main") and not up.furniture)
+        n.dead = up is not None and up.dead
+        if not n.dead and n.hash in templates and n.tag in BLOCK and n.tag not in ("article", "main") and not n.holds:
+            n.dead = not n.inside or within and n.tag not in TEXT
+        if not n.dead and n.furniture:
+            n.dead = not n.holds or n.furniture == 2 and n.tag not in WRAPPERS
     for kind in ("article", "main"):
-        found = [n for n in nodes if n.tag == kind and id(n) not in dead and not n.furniture]
+        found = [n for n in nodes if n.tag == kind and not n.dead and not n.furniture]
         if found:
             break
     else:
         found = [root]
-    tops = {id(n) for n in found}
+    todo: list = [n for n in found[::-1] if not (n.inside and _within(n, kind))]
     blocks: list[list[str]] = [[]]
-    todo: list = [n for n in found[::-1] if not any(id(u) in tops for u in _ups(n))]
     while todo:
         x = todo.pop()
         if x is None:
             blocks.append([])
         elif isinstance(x, str):
             blocks[-1].append(x)
-        elif id(x) in dead or x.furniture and x.tag != "article":
+        elif x.dead:
             blocks.append([]) if x.tag in BLOCK else blocks[-1].append(" ") if x.tag == "br" else None
         elif x.tag in ("br", "hr"):
             blocks[-1].append(" ")
@@ -175,6 +219,16 @@ def extract(root: Node, templates: set[int] = frozenset()) -> str:
     return " ".join(x for x in lines if x)
 
 
+def _within(n: Node, kind: str) -> bool:
+    """Whether the element is in another of its kind; only those inside any article or main ask."""
+    n = n.parent
+    while n is not None and n.inside or n is not None and n.tag == kind:
+        if n.tag == kind:
+            return True
+        n = n.parent
+    return False
+
+
 def preorder(root: Node) -> list[Node]:
     """Page order."""
     out, todo = [], [root]
@@ -185,52 +239,47 @@ def preorder(root: Node) -> list[Node]:
     return out
 
 
-def _ups(n: Node):
-    while n.parent is not None:
-        n = n.parent
-        yield n
-
-
-def _inside(n: Node) -> bool:
-    return any(u.tag in ("article", "main") for u in _ups(n))
-
-
 def host(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
 
 
-def _template_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, url, html -> key, host, page (its content), hash of each of its countable subtrees."""
     for b in batches:
-        hosts, pages, hashes = [], [], []
-        for url, page in zip(b.column(0), b.column(1)):
+        keys, hosts, pages, hashes = [], [], [], []
+        for key, url, page in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
             nodes = hash_subtrees(parse(page.as_py() or ""))
             found = countable(nodes)
-            h = host(url.as_py())
-            hosts += [h] * (len(found) + 1)
-            pages += [nodes[-1].hash] * (len(found) + 1)
-            hashes += [*found, 0]  # 0 counts the pages of the host
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "page": pa.array(pages, pa.int64()), "hash": pa.array(hashes, pa.int64())})
+            h = xxhash.xxh64_intdigest(host(url.as_py()).encode("utf-8", "surrogatepass"))
+            keys += [key] * len(found)
+            hosts += [h - (1 << 64) if h >> 63 else h] * len(found)
+            pages += [nodes[-1].hash] * len(found)
+            hashes += found
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in (("key", keys), ("host", hosts), ("page", pages), ("hash", hashes))})
 
 
-def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
-    """host, hashes: subtrees on at least min_pages different pages and min_share of the host's pages.
+def site_templates(subtrees: DataFrame, min_pages: int = 5) -> DataFrame:
+    """subtrees (key, host, page, hash) -> key, hashes: those of each page that recur on min_pages different pages of its host.
 
-    The share bounds each host's list: at most 1 / min_share times the subtrees of a page.
+    Hashes that make up a HOT share of all rows (at most 1 / HOT of them) are looked up by broadcast, the others
+    joined by host and hash, so that no task gets all pages of a host.
     """
-    seen = pages.select("url", "html").mapInArrow(_template_rows, "host string, page long, hash long")
-    counts = seen.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where((F.col("n") >= min_pages) | (F.col("hash") == 0))
-    counts = materialize(counts, "subtrees")
-    total = counts.where("hash = 0").select("host", F.col("n").alias("total"))
-    often = counts.where("hash <> 0").join(total, "host").where(F.col("n") >= F.col("total") * min_share)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    counts = subtrees.groupBy("host", "hash").agg(F.count_distinct("page").alias("n"), F.count("*").alias("rows")).where(F.col("n") >= min_pages)
+    counts = materialize(counts, "templates")
+    floor = HOT * subtrees.count()
+    hot, cold = counts.where(F.col("rows") >= floor).select("host", "hash"), counts.where(F.col("rows") < floor).select("host", "hash")
+    often = subtrees.join(F.broadcast(hot), ["host", "hash"], "left_semi")
+    rest = subtrees.join(F.broadcast(hot), ["host", "hash"], "left_anti").join(cold, ["host", "hash"], "left_semi")
+    return often.union(rest).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
+def extract_main_text(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     """page_id, url, text, n_chars."""
-    templates = materialize(site_templates(pages, min_pages, min_share), "templates")
-    of = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = pages.select("page_id", "url", "html", of.alias("__host")).join(templates.withColumnRenamed("host", "__host"), "__host", "left").select("page_id", "url", "html", "hashes")
+    ship(pages.sparkSession)
+    keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "html")  # repeated rows share their key, and their hashes
+    subtrees = materialize(keyed.select("key", "url", "html").mapInArrow(_subtrees, "key long, host long, page long, hash long"), "subtrees")
+    joined = keyed.join(site_templates(subtrees, min_pages), "key", "left").select("page_id", "url", "html", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
