@@ -91,6 +91,25 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+BITS = 26
+
+
+def _bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit(9)), F.lit(1 << BITS))
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of hashed keys, for might_hold: at most 2 ** (BITS - 6) rows of 64 bits, whatever the number of keys."""
+    return keys.select(_bit(key).alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit % 64 as int))")).alias("__bits"))
+
+
+def might_hold(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """df with `__maybe`: false only for rows whose key is not in the bitmap. It is broadcast, so df is not shuffled."""
+    df = df.withColumn("__bit", _bit(key)).withColumn("__word", F.shiftright("__bit", 6))
+    found = df.join(F.broadcast(bits), "__word", "left").withColumn("__maybe", F.coalesce(F.expr("(shiftright(__bits, cast(__bit % 64 as int)) & 1L) = 1L"), F.lit(False)))
+    return found.drop("__word", "__bit", "__bits")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -17,7 +17,9 @@ once, in blocks; nothing is emitted for each pair.
 
 Words are `[^\\x20\\x09-\\x0D]+`. A text of fewer words than `width` has one shingle of all its
 words. Defined results: null, empty and wordless texts are alone in their class, with no links.
-Repeated rows are copies: they link each other. An empty table gives an empty table. Only doc_id
+Repeated rows are copies: they link each other. Rows count by their text, not by their id: rows
+of one id, or without any, are in the classes of their texts, and class_key tells classes apart
+even where their smallest ids are equal or null. An empty table gives an empty table. Only doc_id
 and text are read.
 """
 
@@ -25,20 +27,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WS, bitmap, materialize, might_hold, ship, text_or_empty
 from .components import components
 
 SPREAD, DEPTH = 2.0, 3
 SMALL, BLOCK, WIDE = 64, 768, 1536
-MOST_BITS = 1 << 26
+K1, K2 = "__nj_k1", "__nj_k2"
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _hashes: dict[bytes, int] = {}
 
@@ -79,7 +80,7 @@ def runs_for(recall: float, similarity: float) -> int:
 
 
 def _describe(width: int, runs: int) -> Callable:
-    """doc_id, text -> node, n, sketch (one byte of a minhash for each run and level), chosen (run, level, token)."""
+    """doc_id, text, k1, k2 -> doc_id, k1, k2, node, n, sketch (one byte of a minhash for each run and level), chosen (run, level, token)."""
     with np.errstate(over="ignore"):
         seeds = mix(np.arange(1, runs * DEPTH + 1, dtype=np.uint64) * GOLD)
 
@@ -104,7 +105,7 @@ def _describe(width: int, runs: int) -> Callable:
                     picks.append(s[h <= limit].view(np.int64).tolist())
                 sketches.append(bytes(sketch))
                 chosen.append(picks)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(chosen, pa.list_(pa.list_(pa.int64())))], ["doc_id", "node", "n", "sketch", "chosen"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(chosen, pa.list_(pa.list_(pa.int64())))], ["doc_id", *b.schema.names[2:], "node", "n", "sketch", "chosen"])
 
     return run
 
@@ -287,26 +288,6 @@ def _verify(threshold: float) -> Callable:
     return run
 
 
-@contextmanager
-def bloom_filtered(spark: SparkSession, items: int) -> Iterator[None]:
-    """Joins planned inside drop, before they shuffle, most rows of the larger side that no key of the smaller can match.
-
-    Spark builds the Bloom filter on the executors; it has 8 bits for each of `items` keys, 8 MB at most. Beyond
-    that it lets more rows pass to the join, which decides in any case.
-    """
-    top = "spark.sql.optimizer.runtime.bloomFilter."
-    items = max(1000, min(items, MOST_BITS // 8))
-    put = {"enabled": "true", "applicationSideScanSizeThreshold": "0b", "creationSideThreshold": "1t", "expectedNumItems": items, "maxNumItems": MOST_BITS // 8, "numBits": 8 * items, "maxNumBits": MOST_BITS}
-    before = {k: spark.conf.get(top + k) for k in put}
-    for k, v in put.items():
-        spark.conf.set(top + k, str(v))
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(top + k, v)
-
-
 def grouped(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, "node").mapInArrow(by_group(fn, key), schema)
 
@@ -331,67 +312,105 @@ def candidate_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
         elif large.isEmpty():
             break
         else:
-            more = sets.select("node", F.posexplode("chosen").alias("k", "tokens")).where(F.col("k") % DEPTH == level + 1)
-            more = more.select("node", F.floor(F.col("k") / DEPTH).cast("int").alias("run"), F.explode("tokens").alias("token"))
-            rows = large.select("node", "run", "path").join(more, ["node", "run"]).select("node", F.xxhash64("path", "token").alias("path"), "run")
+            # One row for each node carries the tokens of all runs; they are dealt out after the join.
+            more = sets.select("node", F.filter("chosen", lambda x, k: k % DEPTH == level + 1).alias("next"))
+            rows = large.select("node", "run", "path").join(more, "node").select("node", "path", "run", F.explode(F.get("next", F.col("run"))).alias("token"))
+            rows = rows.select("node", F.xxhash64("path", "token").alias("path"), "run")
     return edges
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), n_links, n_copies, in_class (rows of the class)."""
+def with_keys(docs: DataFrame) -> DataFrame:
+    """Two 64-bit hashes of id and text: rows that share both are repeated rows."""
+    return docs.withColumns({K1: F.xxhash64("doc_id", "text"), K2: F.xxhash64(F.lit(1), "doc_id", "text")})
+
+
+def _classes(docs: DataFrame, threshold: float, width: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, keys, node; null without words), and what is known of each node: its class, links and the class's first row."""
     runs = runs_for(recall, threshold)
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text")
-    all_docs = materialize(docs.mapInArrow(_describe(width, runs), f"doc_id {kind}, node long, n int, sketch binary, chosen array<array<long>>"), "sets")
-    sets = materialize(all_docs.where("node is not null").groupBy("node").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("chosen").alias("chosen")), "nodes")
+    docs = with_keys(docs.select("doc_id", "text"))
+    all_docs = materialize(docs.mapInArrow(_describe(width, runs), f"doc_id {kind}, {K1} long, {K2} long, node long, n int, sketch binary, chosen array<array<long>>"), "sets")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", K1, K2)
+    sets = all_docs.where("node is not null").groupBy("node").agg(F.count("*").alias("times"), F.min(row).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("chosen").alias("chosen"))
+    sets = materialize(sets, "nodes")
     cand = components(candidate_edges(sets, threshold, runs))
     sized = cand.groupBy("root").agg(F.count("*").alias("size"))
-    members = cand.join(sized, "root").join(sets.select("node", "times", "doc_id"), "node")
+    members = cand.join(sized, "root").join(sets.select("node", "times", F.col(f"row.{K1}").alias("__key")), "node")
     members = materialize(members, "members")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             keep, found = [], []
-            for i, (node, text) in enumerate(zip(b.column(0), b.column(4))):
+            for i, (node, text) in enumerate(zip(b.column(0).to_pylist(), b.column(4))):
+                if node in seen:  # a repeated row
+                    continue
                 s = shingles(text.as_py(), width)
-                if len(s) and signature(s) == node.as_py():  # a repeated id, or one of the same hash, may have other texts
+                if len(s) and signature(s) == node:  # another row may have the same key
+                    seen.add(node)
                     keep.append(i)
                     found.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(keep, pa.int32())) for c in range(4)), pa.array(found, pa.list_(pa.int64()))], ["node", "root", "size", "times", "shingles"])
 
-    wanted = members.where("size > 1").select("node", "root", "size", "times", F.xxhash64("doc_id").alias("__key"))
-    texts = wanted.join(docs.select("text", F.xxhash64("doc_id").alias("__key")), "__key").select("node", "root", "size", "times", "text")
+    wanted = members.where("size > 1").select("node", "root", "size", "times", "__key")
+    # Of the other texts, the bitmap keeps most from being shuffled; the join decides in any case.
+    asked = materialize(bitmap(wanted, "__key"), "asked")
+    texts = might_hold(docs.select("text", F.col(K1).alias("__key")), "__key", asked).where("__maybe")
+    texts = wanted.join(texts, "__key").select("node", "root", "size", "times", "text")
     texts = texts.mapInArrow(with_sets, "node long, root long, size long, times long, shingles array<long>")
     many = F.ceil(F.col("size") / BLOCK).cast("int")
     texts = texts.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), many).cast("int"))
     texts = texts.withColumn("at", F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), many - 1)).otherwise(F.array("block"))))
     parts = texts.select(F.xxhash64("root", "at").alias("part"), "node", "root", "size", "times", (F.col("at") == F.col("block")).alias("own"), "shingles")
-    with bloom_filtered(docs.sparkSession, members.count()):
-        first = materialize(grouped(parts, "part", _differences(threshold, BLOCK), "node long, to long, links long, root long, size long, times long, n long, differences array<long>"), "differences")
+    first = materialize(grouped(parts, "part", _differences(threshold, BLOCK), "node long, to long, links long, root long, size long, times long, n long, differences array<long>"), "differences")
     cells = _in_blocks(first.where("differences is not null"), "root", "size", WIDE).select("cell", "block", "node", "times", "n", "differences")
     links = grouped(cells, "cell", _verify(threshold), "node long, to long, links long")
     links = materialize(links.union(first.where("differences is null").select("node", "to", "links")), "links")
     classes = components(links.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = classes.join(sets.select("node", "doc_id", "times"), "node")
-    ids = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("times").alias("in_class"))
-    about = classes.select("node", "root").join(ids, "root").join(counts, "node", "left").select("node", "class_id", "in_class", "links")
-    about = sets.select("node", "times", F.col("doc_id").alias("first_id")).join(about, "node", "left")
-    about = materialize(about.select("node", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("times").alias("n_copies"), F.coalesce("in_class", "times").alias("in_class")), "classes")
-    out = all_docs.select("doc_id", "node").join(about, "node", "left")
-    alone = F.col("node").isNull()
-    return out.select(
+    classes = classes.join(sets.select("node", "row", "times"), "node")
+    firsts = classes.groupBy("root").agg(F.min("row").alias("class_row"), F.sum("times").alias("in_class"))
+    found = classes.select("node", "root").join(firsts, "root").join(counts, "node", "left")
+    about = sets.select("node", "times", "row").join(found, "node", "left")
+    about = about.select(
+        "node",
+        F.coalesce("root", "node").alias("class_key"),
+        F.coalesce("class_row", "row").alias("class_row"),
+        (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"),
+        F.col("times").alias("n_copies"),
+        F.coalesce("in_class", "times").alias("in_class"),
+    )
+    return all_docs.select("doc_id", K1, K2, "node"), materialize(about, "classes")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (smallest doc_id of its class), class_key (the class's own number; null
+    for a text without words, which is alone), n_links, n_copies, in_class (rows of the class)."""
+    rows, about = _classes(docs, threshold, width, recall)
+    about = about.select("node", "class_key", F.col("class_row.doc_id").alias("class_id"), "n_links", "n_copies", "in_class")
+    return rows.select("doc_id", "node").join(about, "node", "left").select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "class_key",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("in_class", F.lit(1)).cast("long").alias("in_class"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: the one whose doc_id is the class's, and of its repeated rows one."""
-    classes = jaccard_classes(docs, **options)
-    kept = classes.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__nj_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__nj_id"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999) -> DataFrame:
+    """docs with one row of each class, that of the smallest doc_id (and of repeated rows any one), and all rows without words.
+
+    Rows whose hashed key is not in a bitmap of those that go or are repeated stay where they are; the others are
+    decided by their whole keys, in a shuffle.
+    """
+    rows, about = _classes(docs, threshold, width, recall)
+    keys = rows.where("node is not null").groupBy(K1, K2).agg(F.first("node").alias("node"), F.count("*").alias("times"))
+    first = (F.col(f"class_row.{K1}") == F.col(K1)) & (F.col(f"class_row.{K2}") == F.col(K2))
+    care = materialize(keys.join(about.select("node", "class_row"), "node").select(K1, K2, "times", first.alias("first")).where("times > 1 or not first"), "care")
+    wordless = F.length(F.btrim(text_or_empty(), F.lit(WS))) == 0
+    marked = might_hold(with_keys(docs), K1, materialize(bitmap(care, K1), "cared")).withColumn("__maybe", F.col("__maybe") & ~wordless)
+    gone = care.where("not first").select(K1, K2)
+    stay = marked.where("__maybe").dropDuplicates([K1, K2]).join(gone, [K1, K2], "left_anti")
+    return marked.where("not __maybe").select(*docs.columns).union(stay.select(*docs.columns))

@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Entries (words, their beginnings, and runs of four characters inside them) are counted over all
-   labelled training rows; those that the likelihood ratio finds far more often in toxic texts are
+1. Entries (words, their beginnings, and runs of four characters inside them) are counted over the
+   labelled training rows (MAX_LABELLED of them, a documented bound of the sample that the model is
+   fitted on; their labels are broadcast, so that no text is shuffled); those that the likelihood ratio finds far more often in toxic texts are
    mined, CAPACITY of them at most, the strongest first (a documented bound of the model's size). A
    beginning counts as a family only if no single word makes up most of its texts. Fixed words that
    labelled rows show to be ordinary ones do not vote.
@@ -44,6 +45,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 GRAM, GRAM_SCALE = 4, 0.3
 BEGINNINGS = (4, 5, 6)
 CAPACITY, MEMO = 200_000, 400_000
+MAX_LABELLED = 200_000
 PRIOR_ROWS, PSEUDO, RIDGE = 20.0, 3.0, 0.2
 #: What tells the classes apart: of toxic texts, so many at most show no voter anything.
 SILENT = 0.1
@@ -63,7 +65,9 @@ THREAT = re.compile(
 THREAT_WORDS = frozenset("kill hurt beat destroy smash break murder stab shoot burn crush die suffer bleed pay regret yourself hell um fertig kaputt töten schlagen tuer frapper détruire matar golpear destruir".split())
 _MASKED = re.compile(r"(?<![^\s\"'(,.])[a-z]+(?:[*@$#!0-9]+[a-z]*)+")
 _LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i"})
+_INSIDE = re.compile(r"[a-z][*@$#!0-9]+[a-z]")
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
+_CAPITALS = bytes(range(65, 91))
 VOTERS = (*LEXICONS, "mined", "family", "several", "masked", "addressed", "threat", "shouting", "punctuation", "nothing")
 PATTERNS = ("family", "several", "masked", "addressed", "threat", "shouting", "punctuation")
 FIXED = frozenset().union(*LEXICONS.values())
@@ -154,6 +158,7 @@ class Reader:
         self.mined, self.ordinary = frozenset(mined), frozenset(ordinary)
         self.known = self.mined | FIXED
         self.memo: dict[str, tuple[tuple[str, ...], int]] = {}
+        self.miss: set[str] = set()
         self.bits = {k: 1 << i for i, k in enumerate((*LEXICONS, "mined", "family"))}
 
     def word(self, w: str) -> tuple[tuple[str, ...], int]:
@@ -165,9 +170,14 @@ class Reader:
             bits |= self.bits["family"]
         elif w in self.mined:
             bits |= self.bits["mined"]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.memo[w] = found, bits
+        if not found:
+            if len(self.miss) > MEMO:
+                self.miss.clear()
+            self.miss.add(w)
+        else:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            self.memo[w] = found, bits
         return found, bits
 
     def read(self, text: str | None) -> tuple[list[str], set[str]]:
@@ -178,10 +188,9 @@ class Reader:
         found: list[str] = []
         bits, hits, family = 0, {}, self.bits["family"]
         memo, distinct = self.memo, set(words)
-        for w in distinct:
+        for w in distinct - self.miss:
             some, b = memo.get(w) or self.word(w)
-            if some:
-                found += some
+            found += some
             if b:
                 bits |= b
                 hits[w] = b
@@ -191,7 +200,7 @@ class Reader:
             hits = {w: b for w, b in hits.items() if b != family}
         if len(hits) > 1:
             votes.add("several")
-        if any(c in text for c in "*@$#0134") and any(unmasked(m) for m in _MASKED.findall(low)):
+        if _INSIDE.search(low) and any(unmasked(m) for m in _MASKED.findall(low)):
             votes.add("masked")
         if hits and not YOU.isdisjoint(distinct) and any(hits.get(w, family) != family and not YOU.isdisjoint(words[max(0, i - 4) : i]) for i, w in enumerate(words)):
             votes.add("addressed")
@@ -199,7 +208,9 @@ class Reader:
             votes.add("threat")
         if "!!" in text or "??" in text or "!?" in text:
             votes.add("punctuation")
-        if (n := len(_SHOUT.findall(text))) >= 3 and 5 * n >= len(words):
+        raw = text.encode("utf-8", "surrogatepass")
+        capitals = len(raw) - len(raw.translate(None, _CAPITALS))  # three words of three letters, a fifth of all words
+        if capitals >= max(9, 0.6 * len(words)) and (n := len(_SHOUT.findall(text))) >= 3 and 5 * n >= len(words):
             votes.add("shouting")
         return found + ["^" + p for p in PATTERNS if p in votes], votes
 
@@ -279,20 +290,19 @@ def train_linear(rows: DataFrame, names: list[str], ordinary: list[str] = ()) ->
     return {x: float(w * (GRAM_SCALE if x.startswith("~") else 1.0)) for x, w in zip(names, found)}, float(model.intercept)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """docs (doc_id, text), labels (doc_id, toxic). Mining reads all labelled rows that are not held out; the label
-    model and the classifier all documents that are not."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
+    """docs (doc_id, text), labels (doc_id, toxic). Mining reads the labelled rows that are not held out, max_labelled ids
+    of them at most (the first by hash); the label model and the classifier all documents that are not."""
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = materialize(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"), "labelled")
+    known = labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = F.broadcast(materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "known"))
+    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
     mined, ordinary = mine(labelled)
-    rate = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    prior = min(0.5, max(0.01, rate if rate is not None else 0.05))
     shared = spark.sparkContext.broadcast((mined, ordinary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """text (and toxic) -> entries, votes (and toxic)"""
+        """text, toxic -> entries, votes, toxic"""
         reader = Reader(*shared.value)
         for b in batches:
             found, votes = [], []
@@ -300,18 +310,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
                 some, said = reader.read(text.as_py())
                 found.append(sorted(some))
                 votes.append(list(reader.votes(said)))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(votes, pa.list_(pa.int8())), *b.columns[1:]], ["entries", "votes", *b.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(votes, pa.list_(pa.int8())), b.column(1)], ["entries", "votes", "toxic"])
 
-    training = docs.where(crc_mod(F.col("doc_id"), 5) != 0).select("text")
-    rows = training.mapInArrow(run, "entries array<string>, votes array<tinyint>").groupBy("entries", "votes").agg(F.count("*").alias("n"))
+    training = docs.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(known, "doc_id", "left").select("text", "toxic")
+    rows = training.mapInArrow(run, "entries array<string>, votes array<tinyint>, toxic int").groupBy("entries", "votes", "toxic").agg(F.count("*").alias("n"))
     rows = materialize(rows, "toxic_votes")
     found = rows.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     votes = np.array([r["votes"] for r in found], int).reshape(-1, len(VOTERS))
-    seen = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "entries array<string>, votes array<tinyint>, toxic int").groupBy("votes", "toxic").count().collect()
+    seen = rows.where("toxic is not null").groupBy("votes", "toxic").agg(F.sum("n").alias("n")).collect()
+    labelled_rows = sum(r["n"] for r in seen)
+    prior = min(0.5, max(0.01, sum(r["n"] for r in seen if r["toxic"]) / labelled_rows if labelled_rows else 0.05))
     at = {tuple(v): i for i, v in enumerate(votes.tolist())}
     gold = np.zeros((len(votes), 2))
     for r in seen:
-        gold[at[tuple(r["votes"])], 1 - r["toxic"]] += r["count"]
+        gold[at[tuple(r["votes"])], 1 - r["toxic"]] += r["n"]
     toxic, about = label_model(votes, np.array([r["n"] for r in found], float), prior, gold)
     patterns = spark.createDataFrame([(v, float(t)) for v, t in zip(votes.tolist(), toxic)], "votes array<tinyint>, target double")
     names = sorted(set(mined) | FIXED | {"^" + p for p in PATTERNS})

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import io
 import random
 import re
 import zlib
@@ -73,7 +74,9 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def brute_classes(rows):
+def brute_roots(rows):
+    """For each row the number of its class, and its links."""
+
     def grams(t):
         w = (t or "").encode().split()
         return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -93,18 +96,53 @@ def brute_classes(rows):
                 links[i] += 1
                 links[j] += 1
                 root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))], links
+
+
+def brute_classes(rows):
+    roots, links = brute_roots(rows)
     classes = defaultdict(list)
-    for i in range(len(rows)):
-        classes[find(i)].append(rows[i][0])
-    return sorted(((rows[i][0], min((x for x in classes[find(i)] if x is not None), default=None), links[i], len(classes[find(i)])) for i in range(len(rows))), key=str)
+    for r, row in zip(roots, rows):
+        classes[r].append(row[0])
+    return sorted(((row[0], min((x for x in classes[r] if x is not None), default=None), n, len(classes[r])) for r, row, n in zip(roots, rows, links)), key=str)
+
+
+def found_classes(out):
+    return sorted(((r.doc_id, r.class_id, r.n_links, r.in_class) for r in out), key=str)
+
+
+@pytest.fixture(scope="module")
+def odd_rows(rows):
+    """Repeated ids with different texts, several rows without an id, repeated rows."""
+    rnd = random.Random(4)
+    more = [(None, words(rnd, 30)) for _ in range(4)] + [(7, words(rnd, 30)), (7, words(rnd, 30)), (62, rows[0][1]), (None, rows[1][1]), (None, rows[1][1]), (None, None), (None, None)]
+    return rows + [(i, t, "en", "s", 1) for i, t in more]
 
 
 def test_jaccard(docs, rows, empty):
-    got = sorted(((r.doc_id, r.class_id, r.n_links, r.in_class) for r in ngram_join.jaccard_classes(docs).collect()), key=str)
+    got = found_classes(ngram_join.jaccard_classes(docs).collect())
     assert got == brute_classes(rows) and max(x[2] for x in got) > 3
-    assert ngram_join.jaccard_classes(empty).count() == 0
-    kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len({(x[1], x[0] if x[1] is None else 0) for x in got})
+    assert ngram_join.jaccard_classes(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
+
+
+def test_jaccard_of_odd_ids(spark, odd_rows):
+    """Classes are told apart, and one row of each stays, whatever the ids are."""
+    df = spark.createDataFrame(odd_rows, SCHEMA).withColumn("node", F.lit("clash")).withColumn("class_key", F.lit(0))
+    out = ngram_join.jaccard_classes(df).collect()
+    assert found_classes(out) == brute_classes(odd_rows)
+    roots, _ = brute_roots(odd_rows)
+    worded = {r for r, row in zip(roots, odd_rows) if (row[1] or "").split()}
+    assert len({r.class_key for r in out if r.class_key is not None}) == len(worded)
+    members = defaultdict(list)
+    for r, row in zip(roots, odd_rows):
+        members[r].append((row[0], row[1]))
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()]
+    assert ngram_join.keep_one(df).columns == df.columns
+    assert sorted((x for x in kept if not (x[1] or "").split()), key=str) == sorted(((i, t) for i, t, *_ in odd_rows if not (t or "").split()), key=str)
+    for r in worded:
+        here = [x for x in kept if x in members[r]]
+        assert len(here) == 1 and here[0][0] == min((i for i, _ in members[r] if i is not None), default=None)
+    assert sum(t is not None and bool(t.split()) for _, t in kept) == len(worded)
 
 
 def test_jaccard_in_blocks(docs, rows, monkeypatch):
@@ -112,8 +150,7 @@ def test_jaccard_in_blocks(docs, rows, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "WIDE", 3)
-    got = sorted(((r.doc_id, r.class_id, r.n_links, r.in_class) for r in ngram_join.jaccard_classes(docs).collect()), key=str)
-    assert got == brute_classes(rows)
+    assert found_classes(ngram_join.jaccard_classes(docs).collect()) == brute_classes(rows)
 
 
 def test_jaccard_recall_at_the_last_level():
@@ -132,6 +169,8 @@ def test_jaccard_recall_at_the_last_level():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (300, 200), (5, 5)]
+    star = components.components(spark.createDataFrame([(i, 5000) for i in range(1, 4000)] + [(6000 + i, 7000 + i) for i in range(1000)], "a long, b long")).collect()
+    assert {r.node for r in star if r.root == 1} == {*range(1, 4000), 5000} and len(star) == 6000
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 200: 100, 300: 100}
 
@@ -155,14 +194,51 @@ def test_quality(docs, rows, empty):
     model = quality.fit(feats)
     out = quality.verdict(feats, model)
     assert out.where("base_failed and kept").isEmpty() and out.where("kept").count() > 50
+    clash = quality.features(docs.withColumn("n_words", F.lit("clash")).withColumn("vote_length", F.lit("clash")))
+    assert dict(clash.dtypes)["n_words"] == "bigint" and clash.columns.count("n_words") == 1 and [r.n_words for r in clash.orderBy("doc_id", "text").collect()] == [r.n_words for r in feats.orderBy("doc_id", "text").collect()]
     nothing = materialize(quality.features(empty), "feats")
     assert quality.verdict(nothing, quality.fit(nothing)).count() == 0
 
 
+def test_quality_recovers_planted_rules():
+    """Rules of known rates: EM finds them, gives a worthless rule no weight, and keeps texts with one vote against."""
+    rnd = np.random.default_rng(5)
+    n, k = 40_000, len(quality.VOTES)
+    good = rnd.random(n) < 0.85
+    on_good, on_bad = np.array([0.3, 0.02, 0.01, 0.1, 0.05, 0.02, 0.03, 0.04, 0.01, 0.08]), np.array([0.2, 0.6, 0.5, 0.7, 0.4, 0.6, 0.5, 0.8, 0.3, 0.5])
+    against = rnd.random((n, k)) < np.where(good[:, None], on_good, on_bad)
+    votes = np.where(rnd.random((n, k)) < 0.1, 0, np.where(against, -1, 1))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality.estimate(patterns, counts.astype(float))
+    rates = np.array([model["rates"][v] for v in quality.VOTES])
+    assert rates[:, 0] == pytest.approx(on_good, abs=0.02) and rates[:, 1] == pytest.approx(on_bad, abs=0.04)
+    assert model["odds"]["vote_length"][0] == 0
+    odds = np.array([model["odds"][v] for v in quality.VOTES])
+    kept = model["prior"] + sum(odds[j][votes[:, j] + 1] for j in range(k)) >= 0
+    assert (kept == good).mean() > 0.97
+    passes = (votes >= 0).all(1)
+    assert (kept & ~passes & good).sum() > 0.3 * good.sum() and (kept == good).mean() > (passes == good).mean() + 0.2
+
+
+def test_quality_of_real_rules(spark):
+    """Repetitive, shouting and symbol texts go; a short but sound text stays though it draws a vote."""
+    rnd = random.Random(6)
+    sound = lambda n: " ".join(rnd.choice(["the", "of", "and", "to", "in", words(rnd, 1, 900), words(rnd, 1, 900)]) for _ in range(n)).replace("w", "word")
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [(i, sound(rnd.randrange(30, 300)).translate(letters)) for i in range(300)]
+    texts += [(1000 + i, " ".join(w.upper() + "!!" for w in sound(120).translate(letters).split())) for i in range(15)]
+    texts += [(2000 + i, " ".join(w + rnd.choice(["###", "%%%", "|"]) for w in sound(120).translate(letters).split())) for i in range(15)]
+    feats = materialize(quality.features(spark.createDataFrame(texts, "doc_id long, text string")), "feats")
+    out = quality.verdict(feats, quality.fit(feats)).collect()
+    assert all(r.kept == (r.doc_id < 1000) for r in out) and any(r.kept and r.vote_length < 0 for r in out)
+
+
 def test_packing(docs, rows, empty):
     out = [r for r in packing.pack(docs, buckets=4, budget=500, shard=7).collect()]
-    assert sorted((r.doc_id, r.n_tokens) for r in out if r.doc_id is not None) == sorted((i, len((t or "").split()) + 1) for i, t, *_ in rows if i is not None)
+    assert sorted(((r.doc_id, r.n_tokens) for r in out), key=str) == sorted(((i, len((t or "").split()) + 1) for i, t, *_ in rows), key=str)
     batches = defaultdict(list)
+    longest = {b: max(r.n_tokens for r in out if r.bucket == b) for b in {r.bucket for r in out}}
+    assert all(r.bucket_len == longest[r.bucket] for r in out) and max(longest.values()) > packing.EXACT
     for r in out:
         assert r.padding == r.bucket_len - r.n_tokens >= 0
         batches[r.bucket, r.batch].append(r)
@@ -245,6 +321,15 @@ def test_suffix_tree_is_whole(spark, monkeypatch):
         assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_suffix_tree_and_nul_words(spark):
+    rows = [(i, "\x00\x00 a b \x00\x00") for i in range(6)]
+    got = suffix_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(6))
+    counts = {"\x00\x00": 2 * n, "a": n, "b": n, None: n}
+    want = sum(np.log10((counts[t] + 1) / ((5 * n + 1) * 5)) for t in ("\x00\x00", "a", "b", "\x00\x00", None))
+    assert all(r.base_score == pytest.approx(want) and r.train_tokens == 5 * n for r in got)
+
+
 def test_licenses(docs, rows, empty):
     text = "Intro. Licensed under the Apache License, Version 2.0; CC-BY 4.0? Under the MIT License!"
     s = licenses.LicenseScanner().scan(text)
@@ -254,13 +339,36 @@ def test_licenses(docs, rows, empty):
         assert auto.match([w.encode() for w in ok.split()], 0) == len(ok.split())
     for bad in ("a b d e", "a d x y z e", "a c d e"):
         assert auto.match([w.encode() for w in bad.split()], 0) == -1
-    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
-    for i, t, *_ in rows:
-        lower = (t or "").translate({c: c + 32 for c in range(65, 91)})
-        assert got[i].n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)) and got[i].n_base == 0 and got[i].labels == "" and got[i].first_word is None
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_texts():
+    """The whole mandatory wording must stand, word for word; names and numbering may differ."""
+    scan = licenses.LicenseScanner().scan
+    for label, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            plain = re.sub(r"\{\d+\}", "Jane Roe", re.sub(r"\[([^\]]*)\]", "", t))
+            assert label in scan(f"Some words. {plain} More words.")["labels"], (label, plain)
+            if label.endswith(("-text", "-header")):
+                w = plain.split()
+                assert label not in scan(plain.replace(max(w, key=len), "altered"))["labels"]
+                assert label not in scan(" ".join(w[:-1]))["labels"] and label not in scan(" ".join(w[1:]))["labels"]
+
+
+def test_license_table(spark, rows):
+    rnd = random.Random(12)
+    bits = ["MIT License", "apache\nLicense", "CC-BY", "cc by", "GNU General Public License", "gnu general public", "mit", "license", "é", "x1"]
+    texts = [(i, " ".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 30)))) for i in range(80)] + [(i, t) for i, t, *_ in rows] + [(900, "the mit license " * 40_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("labels", F.lit("clash"))
+    got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_licenses(df).collect()), key=str)
+    want = []
+    for i, t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        found = [(at, label) for p, label in licenses.PHRASES.items() for at in range(len(w)) if w[at] == p.split()[0] and w[at : at + len(p.split())] == p.split()]
+        want.append((i, len(w), len(found), min((f[0] for f in found), default=None), max((f[0] for f in found), default=None), ",".join(sorted({f[1] for f in found}))))
+    assert got == sorted(want, key=str) and sum(x[2] for x in want) > 40_000
+
+
 def test_toxicity(spark, empty):
     rnd = random.Random(9)
     rows, labels = [], []
@@ -273,6 +381,9 @@ def test_toxicity(spark, empty):
         labels.append((i, 1, int(toxic)))
     docs, known = spark.createDataFrame([*rows, (1000, None, None, None, None), (1001, LONG, "en", "s", 1)], SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     out = toxicity.score(docs, toxicity.fit(docs, known)).collect()
+    clash = docs.withColumn("score", F.lit("mine")).union(docs.withColumn("score", F.lit("mine")))
+    kept = toxicity.score(clash, toxicity.fit(docs, known), names=("__s", "__p")).collect()
+    assert len(kept) == 1204 and all(r.score == "mine" for r in kept) and len({(r.doc_id, r["__s"]) for r in kept}) == 602
     held = [r for r in out if r.doc_id < 600 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.98
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out) and len(out) == 602
@@ -297,6 +408,35 @@ def test_toxicity_of_rare_words(spark):
     assert sum(r.predicted == (r.doc_id % 6 == 0) for r in held) / len(held) > 0.98
 
 
+def test_toxicity_beyond_the_mined_words(spark):
+    """Words that only begin as mined ones do are clean; addressed insults, threats and masked words count though no text has them."""
+    rnd = random.Random(11)
+    rows = [(i, words(rnd, 40, 300) + (f" {rnd.choice(['pathetic', 'worthless', 'idiot'])} {rnd.choice(['pathetic', 'worthless', 'idiot'])}" if i % 6 == 0 else ""), "en", "s", 1) for i in range(1200)]
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int"))
+    probes = {"the path to the house is worth the walk": 0, "worthy winners": 0, "good day": 0, "": 0, "i will hurt you, you filthy animal": 1, "you are a moron": 1, "shut up you f**king b*tch": 1, "what an id1ot you are": 1}
+    got = {r.text: r.predicted for r in toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(probes)], "doc_id long, text string"), model).collect()}
+    assert got == probes and not {"path*", "wort*", "worth*"} & set(model["names"])
+
+
+def test_label_model_recovers_planted_rates():
+    rnd = np.random.default_rng(7)
+    n, k = 50_000, len(toxicity.VOTERS)
+    toxic = rnd.random(n) < 0.08
+    on_toxic = np.array([0.3, 0.4, 0.2, 0.6, 0.2, 0.5, 0.1, 0.2, 0.05, 0.04, 0.04])
+    on_clean = np.array([0.002, 0.004, 0.001, 0.01, 0.003, 0.002, 0.002, 0.001, 0.001, 0.04, 0.04])
+    said = rnd.random((n, k - 1)) < np.where(toxic[:, None], on_toxic, on_clean)
+    silent = ~said[:, : k - 3].any(1)
+    votes = np.concatenate([said.astype(int), np.where(silent, -1, 0)[:, None]], 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    _, of = np.unique(np.concatenate([patterns, votes[:2000]]), axis=0, return_inverse=True)
+    gold = np.stack([np.bincount(of[len(patterns) :], w, len(patterns)) for w in (toxic[:2000], ~toxic[:2000])], 1)
+    posterior, about = toxicity.label_model(patterns, counts.astype(float), 0.08, gold)
+    rates = np.array([about["rates"][v] for v in toxicity.VOTERS])[: k - 3]
+    assert rates[:, 0] == pytest.approx(on_toxic[: k - 3], abs=0.13) and rates[:, 1] == pytest.approx(on_clean[: k - 3], abs=0.01)
+    by = {tuple(v): p for v, p in zip(patterns.tolist(), posterior)}
+    assert np.mean([(by[tuple(v)] >= 0.5) == t for v, t in zip(votes.tolist(), toxic)]) > 0.96
+
+
 def test_bpe(docs, rows, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -316,11 +456,14 @@ def test_bpe(docs, rows, empty):
 
 def test_media(spark, docs, rows, empty):
     for r in media.text_media(docs, with_media=True).collect():
-        payload = media.decode(r.media).tobytes()
+        payload = media.read_tiles(r.media, media.WIDTH).tobytes()
+        first = np.load(io.BytesIO(r.media), allow_pickle=False)
+        assert first.dtype == np.uint8 and first.shape[1:] == (media.WIDTH, 3) and r.media_bytes == len(r.media)
         assert len(payload) == r.payload_bytes and len(payload) % 192 == 0 and r.payload_bytes > 0 and hashlib.sha256(payload).hexdigest() == r.payload_sha256
         assert r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and payload[r.n_bytes :].strip(b" ") == b""
     assert media.text_media(empty).count() == 0
     image = np.random.default_rng(1).integers(0, 256, (21, 13, 3), np.uint8)
+    assert (media.read_tiles(media.store_tiles(image, 8), 13, 8) == image).all()
     assert (media.decode(media.encode_bmp(image)) == image).all() and (media.decode(media.encode_ppm(image)) == image).all()
     assert media.decode(b"P2 # c\n2 2\n255\n1 2 3 4").tolist() == [[1, 2], [3, 4]] and media.decode(b"P1\n3 1\n1 0 1").tolist() == [[0, 1, 0]]
     assert media.decode(b"P4\n3 1\n\xa0").tolist() == [[0, 1, 0]] and media.decode(b"P5 1 1 65535\n\x01\x02").tolist() == [[258]]
@@ -348,18 +491,82 @@ def test_html(spark):
     assert html.unescape("&amp;") == "&"
 
 
-def test_pipeline(spark, docs, tmp_path):
+def test_html_templates_decide(spark):
+    """Where no tag or class tells anything, subtrees that recur on a host go, and the same ones stay elsewhere."""
+    rnd = random.Random(13)
+    pages, want = [], {}
+    for h, n in (("big.example", 60), ("small.example", 4)):
+        shared = [f"<div class='x{k}'><div>Part {k} of {h}</div><p>See {k}</p></div>" for k in range(4)]
+        for i in range(n):
+            own = f"Story {rnd.random()} of {h}"
+            some = rnd.sample(shared, 2)
+            pages.append((len(pages), f"https://{h}/{i}", f"<html><body><section>{some[0]}</section><section><p>{own}</p></section>{some[1]}</body></html>"))
+            strip = lambda t: " ".join(re.sub(r"<[^>]*>", " ", t).split())
+            want[len(pages) - 1] = own if n > 20 else f"{strip(some[0])} {own} {strip(some[1])}"
+    pages += [(7, *pages[7][1:])] * 3  # repeated rows count once
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = html_extract.extract_main_text(df).collect()
+    assert len(got) == len(pages) and {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_html_counts_of_subtrees(spark):
+    """Recurring hashes of each page against counts in plain Python."""
+    rnd = random.Random(14)
+    pages = [(i, f"http://h{i % 3}.example/{i}", "<body>" + "".join(f"<div>{rnd.randrange(12)}<p>{rnd.randrange(30)}</p></div>" for _ in range(4)) + "</body>") for i in range(90)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").select(F.col("page_id").alias("key"), "url", "html")
+    seen = materialize(df.mapInArrow(html_extract._subtrees, "key long, host long, page long, hash long"), "subtrees")
+    got = {r.key: set(r.hashes) for r in html_extract.site_templates(seen, 4).collect()}
+    found, on = {}, defaultdict(set)
+    for i, url, page in pages:
+        nodes = html_extract.hash_subtrees(html_extract.parse(page))
+        found[i] = html_extract.countable(nodes)
+        for h in found[i]:
+            on[url[:17], h].add(nodes[-1].hash)
+    want = {i: {h for h in found[i] if len(on[url[:17], h]) >= 4} for i, url, _ in pages}
+    assert got == {i: h for i, h in want.items() if h} and any(want.values())
+
+
+def test_html_wrappers_and_depth():
+    ex = lambda t: html_extract.extract(html_extract.parse(t))
+    assert ex("<div class='layout with-sidebar'><article>Hi</article></div>") == "Hi" and ex("<div class=sidebar><article>Hi</article></div>") == "Hi"
+    assert ex("<div id=no-comments><article class='post'>A</article><section id=comments><article class=comment>B</article></section></div>") == "A"
+    assert ex("<form><main>x</main></form><form>y</form>") == "x" and ex("<table><tr><td>1<td>2<tr><td>3</table>") == "1 2 3"
+    assert ex("<div>" * 20_000 + "x") == "x" and ex("<b>" * 20_000 + "</i>" * 20_000 + "y") == "y" and ex("<b>" * 20_000 + "<p>z</p>" * 2_000) == " ".join("z" * 2_000)
+    assert len(ex("<p>" + "word " * 400_000)) == 400_000 * 5 - 1
+
+
+def test_pipeline(spark, odd_rows, tmp_path):
+    """Each stage against what its operator says of every row by itself; clashing columns, repeated and missing ids."""
     import corpus_pipeline
 
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    plain = docs.drop("score", "bucket")
-    plain.write.parquet(str(tmp_path / "documents.parquet"))
-    d, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    rows = [*odd_rows, (None, "no words", "en", "s", 1), (3, "you stupid worthless idiot, " + odd_rows[2][1], "en", "s", 1)]
+    clash = ["score", "predicted", "bucket", "n_words", "quality", "kept", "node", "__key"]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in clash})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    d, texts = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for name, stage in corpus_pipeline.STAGES:
         before = d
         d = materialize(stage(spark, d, str(tmp_path)), name)
-        kept.append(d.count())
-        assert name == "packing" or d.columns == before.columns
-    assert kept[0] < docs.count() and kept[3] < kept[2] and kept[4] == kept[3] > 0
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4]
+        if name == "packing":
+            assert d.count() == before.count()
+            break
+        assert d.columns == before.columns and d.where("score <> 'clash' or kept <> 'clash' or bucket <> 'clash'").isEmpty()
+        texts.append(sorted(((r.doc_id, r.text) for r in d.collect()), key=str))
+    feats = materialize(quality.features(docs.select("doc_id", "text")), "feats")
+    kept = [(r.doc_id, r.text) for r in quality.verdict(feats, quality.fit(feats)).where("kept").collect()]
+    assert texts[0] == sorted(kept, key=str) and sum(i is None for i, _ in kept) > 4 and sum(i == 7 for i, _ in kept) == 3
+    gone = [x for x in texts[0] if x not in texts[1]]
+    assert gone and all("idiot" in t for _, t in gone)
+    roots, _ = brute_roots(texts[2])
+    assert len(texts[3]) == len(set(roots)) < len(texts[2])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(texts[3])
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
