@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written
 as Parquet and read again as the next one's docs. All but the last return the columns of docs.
+The two filters decide row by row: rows that share an id, or have none, stay or go by their own
+text, and columns of docs named like a stage's own keep their values.
 """
 
 from __future__ import annotations
@@ -10,20 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odata_spark.llm import line_dedup, ngram_join, packing, quality, toxicity
-from odata_spark.llm.common import materialize, read
+from odata_spark.llm.common import materialize, read, remove, scratch, write
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    feats = materialize(quality.features(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_repeat_words", *quality.VOTES, F.lit(1).alias("__one")), "quality")
-    rejected = quality.verdict(feats, quality.fit(feats)).where("not kept").select(F.col("doc_id").alias("__q_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__q_id"]), "left_anti")
+    """Documents that the quality rules reject go. Texts are written once with their votes, and never shuffled."""
+    feats = quality.features(docs.select(F.struct(*docs.columns).alias("__row"), "text"))
+    feats = materialize(feats.select("__row", "n_words", "n_repeat_words", *quality.VOTES), "quality")
+    return quality.verdict(feats, quality.fit(feats)).where("kept").select("__row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds toxic go."""
     model = toxicity.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, names=("__score", "__predicted")).where("__predicted = 0").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Each stage's intermediate tables go when it is written, and its input when the next one is."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs, path = write(stage(spark, docs, sf_dir), name)
+        remove(spark, before)
+        before = [path]
     return docs
