@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """rows (a, b) joined with least (a, m, degree).
-
-    Nodes with a thousandth of all rows or more (a thousand nodes at most) are joined by broadcast,
-    so that no task gets a whole large star; the others by shuffle.
-    """
-    hot = least.where(F.col("degree") >= max(1.0, total / 1000)).select("a", "m")
-    cold = least.where(F.col("degree") < max(1.0, total / 1000)).select("a", "m")
-    return rows.join(F.broadcast(hot), "a").union(rows.join(F.broadcast(hot.select("a")), "a", "left_anti").join(cold, "a"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> node, root (the smallest node of its component); self-loops are ignored.
 
@@ -27,16 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
-    total, before = edges.count(), None
+    before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("degree"))
-        large = with_least(both, least, 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-        small = with_least(large, least, total).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x")).select("x.a", F.col("x.m").alias("b"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x")).select("x.a", F.col("x.m").alias("b"))
         edges = materialize(small.where("a <> b").distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        total = now[0]
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now

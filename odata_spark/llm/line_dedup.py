@@ -3,7 +3,8 @@
 Native: DataFrame functions only. Lines are exploded and hashed (two 64-bit hashes of
 the normalised line), distinct documents are counted per hash, lines over the threshold
 are dropped, and each text is put together again from its kept positions. Only hashes and
-positions are shuffled by line; texts move once, by document.
+positions are shuffled by line; texts move once, by document, and only where a bitmap of the
+documents that lose lines does not rule it out.
 
 Defined results: a null or empty text is one empty line. Rows with the same doc_id are one
 document for counting, yet each keeps its own text. Null ids are one document below all
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, materialize, text_or_empty
+from .common import WS, ascii_lower, bitmap, materialize, might_hold, text_or_empty
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -44,18 +45,17 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .agg(F.collect_set("pos").alias("gone"))
         .select(F.col("id").alias("__ld_id"), F.col("t1").alias("__ld_t1"), F.col("t2").alias("__ld_t2"), F.col("gone").alias("__ld_gone"))
     )
-    joined = docs.join(
-        drops,
-        docs["doc_id"].eqNullSafe(drops["__ld_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == drops["__ld_t1"]) & (F.xxhash64(F.lit(1), F.coalesce(docs["text"], F.lit(""))) == drops["__ld_t2"]),
-        "left",
-    )
+    drops = materialize(drops, "line_drops")
+    marked = might_hold(docs.withColumns({"__ld_k1": t1, "__ld_k2": t2}), "__ld_k1", materialize(bitmap(drops, "__ld_t1"), "line_docs"))
+    some, none = marked.where("__maybe"), marked.where("not __maybe")
+    joined = some.join(drops, some["doc_id"].eqNullSafe(drops["__ld_id"]) & (some["__ld_k1"] == drops["__ld_t1"]) & (some["__ld_k2"] == drops["__ld_t2"]), "left")
+    joined = joined.select(*[some[c] for c in docs.columns], "__ld_gone").union(none.select(*docs.columns, F.lit(None).cast("array<int>").alias("__ld_gone")))
     lines = F.split(text, "\n", -1)
     n = F.size(lines)
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__ld_gone"))
     rebuilt = F.when(F.col("__ld_gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = {c: docs[c] for c in docs.columns}
     return joined.select(
-        *[rebuilt.alias("text") if c == "text" else out[c] for c in docs.columns],
+        *[rebuilt.alias("text") if c == "text" else F.col(c) for c in docs.columns],
         n.cast("long").alias("__ld_lines"),
         F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long").alias("__ld_dropped"),
     )
