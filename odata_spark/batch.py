@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from email.message import Message
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
@@ -41,10 +42,12 @@ def _headers(text: str) -> dict[str, str]:
 
 
 def _boundary(content_type: str) -> str:
-    m = re.search(r'boundary=(?:"([^"]+)"|([^;\s]+))', content_type or "", re.I)
-    if not m or not content_type.lower().startswith("multipart/mixed"):
+    message = Message()
+    message["Content-Type"] = " ".join((content_type or "").split())
+    found = message.get_boundary()
+    if not found or message.get_content_type() != "multipart/mixed":
         raise ParseError("multipart/mixed with a boundary is needed")
-    return m[1] or m[2]
+    return found
 
 
 def _parts(text: str, boundary: str) -> list[tuple[dict, str]]:

@@ -10,10 +10,6 @@ from ..errors import Unsupported, ValidationError
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
-def _whole_division(a: Column, b: Column) -> Column:
-    return F.try_divide(a - F.try_mod(a, b), b).cast("long")
-
-
 def arithmetic(op: str, a: Column, b: Column, integral: bool) -> Column:
     """Division by zero gives null; div of whole numbers is whole and truncates, divby never is."""
     if op == "add":
@@ -25,7 +21,7 @@ def arithmetic(op: str, a: Column, b: Column, integral: bool) -> Column:
     if op == "mod":
         return F.try_mod(a, b)
     if op == "div" and integral:
-        return _whole_division(a, b)
+        return F.call_function("div", a, F.nullif(b, F.lit(0)))  # exact beyond 2 ** 53
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
@@ -43,7 +39,7 @@ SCALAR = {
     "tolower": (F.lower, "string"),
     "toupper": (F.upper, "string"),
     "trim": (F.trim, "string"),
-    "indexof": (lambda s, v: F.locate_column(s, v), "int"),
+    "indexof": (lambda s, v: F.call_function("instr", s, v) - 1, "int"),
     "substring": (_substring, "string"),
     "concat": (lambda a, b: F.concat(a.cast("string"), b.cast("string")), "string"),
     "year": (F.year, "int"),
@@ -63,7 +59,6 @@ SCALAR = {
     "floor": (F.floor, "bigint"),
     "ceiling": (F.ceil, "bigint"),
 }
-SCALAR["indexof"] = (lambda s, v: F.call_function("instr", s, v) - 1, "int")
 
 
 def call(name: str, args: list[Column]) -> Column:
