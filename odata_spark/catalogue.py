@@ -145,6 +145,22 @@ def expand_nested(spark, folder):
     return df.select("r_regionkey", "n_nationkey", "c.c_custkey")
 
 
+def expand_page(spark, folder):
+    options = {"$top": "7", "$skip": "3", "$orderby": "c_acctbal desc", "$expand": "orders($orderby=o_totalprice desc;$top=2)"}
+    return _flat(service(spark, folder).query("Customers", options), "orders", c_custkey="c_custkey", o_orderkey="@o_orderkey", o_totalprice="@o_totalprice")
+
+
+def expand_page_mn(spark, folder):
+    options = {"$top": "9", "$orderby": "p_retailprice desc", "$expand": "suppliers($orderby=s_acctbal desc;$top=2;$skip=1)"}
+    return _flat(service(spark, folder).query("Parts", options), "suppliers", p_partkey="p_partkey", s_suppkey="@s_suppkey")
+
+
+def expand_page_nested(spark, folder):
+    df = service(spark, folder).query("Nations", {"$top": "3", "$expand": "customers($top=2;$expand=orders($filter=o_orderstatus eq 'F'))"})
+    df = df.select("n_nationkey", F.explode_outer("customers").alias("c")).select("n_nationkey", "c.c_custkey", F.explode_outer("c.orders").alias("o"))
+    return df.select("n_nationkey", "c_custkey", "o.o_orderkey")
+
+
 def expand_count(spark, folder):
     return service(spark, folder).query("Orders", {"$expand": "items/$count($filter=l_quantity gt 40)"}).select("o_orderkey", F.col("`items@odata.count`").alias("items_count"))
 
@@ -202,6 +218,9 @@ SHAPED = {
     expand_1n_top: "select c.c_custkey,o.o_orderkey,o.o_totalprice from customer c left join (select *,row_number() over(partition by o_custkey order by o_totalprice desc,o_orderkey) rn from orders) o on o.o_custkey=c.c_custkey and rn>1 and rn<=3",
     expand_mn: "select p.p_partkey,s.s_suppkey from part p left join (select distinct l_partkey,l_suppkey from lineitem) j on j.l_partkey=p.p_partkey left join supplier s on s.s_suppkey=j.l_suppkey",
     expand_nested: "select r.r_regionkey,n.n_nationkey,c.c_custkey from region r left join nation n on n.n_regionkey=r.r_regionkey left join customer c on c.c_nationkey=n.n_nationkey and c.c_acctbal>9000",
+    expand_page: "select c.c_custkey,o.o_orderkey,o.o_totalprice from (select * from customer order by c_acctbal desc,c_custkey limit 7 offset 3) c left join (select *,row_number() over(partition by o_custkey order by o_totalprice desc,o_orderkey) rn from orders) o on o.o_custkey=c.c_custkey and rn<=2",
+    expand_page_mn: "select p.p_partkey,s.s_suppkey from (select * from part order by p_retailprice desc,p_partkey limit 9) p left join (select j.l_partkey,s_suppkey,row_number() over(partition by j.l_partkey order by s_acctbal desc,s_suppkey) rn from (select distinct l_partkey,l_suppkey from lineitem) j join supplier on s_suppkey=j.l_suppkey) s on s.l_partkey=p.p_partkey and rn between 2 and 3",
+    expand_page_nested: "select n.n_nationkey,c.c_custkey,o.o_orderkey from (select * from nation order by n_nationkey limit 3) n left join (select *,row_number() over(partition by c_nationkey order by c_custkey) rn from customer) c on c.c_nationkey=n.n_nationkey and rn<=2 left join orders o on o.o_custkey=c.c_custkey and o_orderstatus='F'",
     expand_count: "select o.o_orderkey,count(l.l_orderkey) as items_count from orders o left join lineitem l on l.l_orderkey=o.o_orderkey and l.l_quantity>40 group by 1",
     expand_search: "select n.n_nationkey,c.c_custkey from nation n left join customer c on c.c_nationkey=n.n_nationkey and (contains(lower(c_name),'building') or contains(lower(c_mktsegment),'building'))",
     expand_levels: "select a.conv_id,a.turn,b.turn t1,c.turn t2 from conversations a left join conversations b on b.conv_id=a.conv_id and b.turn=a.turn-1 left join conversations c on c.conv_id=b.conv_id and c.turn=b.turn-1",

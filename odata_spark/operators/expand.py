@@ -33,8 +33,14 @@ def unroll(item: Expand, recursive: bool, limit: int, depth: int) -> Expand:
     return out
 
 
-def expand(df: DataFrame, spec: EntitySpec, items: tuple[Expand, ...], tr: Translator, limit: int, depth: int = 1, path: tuple[str, ...] = ()) -> DataFrame:
-    """df with one column for each navigation, and `nav@odata.count` where asked for."""
+def expand(
+    df: DataFrame, spec: EntitySpec, items: tuple[Expand, ...], tr: Translator, limit: int, depth: int = 1, path: tuple[str, ...] = (), page: DataFrame | None = None, small: bool = False
+) -> DataFrame:
+    """df with one column for each navigation, and `nav@odata.count` where asked for.
+
+    page: the rows that df is made of, where paging left few of all; only their children are ranked and
+    gathered then. small: it has at most max_top rows, and its keys are broadcast.
+    """
     if items and depth > limit:
         raise ValidationError(f"$expand is deeper than {limit}")
     for item in items:
@@ -56,10 +62,12 @@ def expand(df: DataFrame, spec: EntitySpec, items: tuple[Expand, ...], tr: Trans
         if nav.through is not None:
             j, c = tr.new_alias("junction"), tr.new_alias(nav.name)
             pairs = nav.through(tr.registry.spark).select(*{x for _, x in nav.on} | {x for x, _ in nav.via}).distinct()
+            pairs = _of_page(pairs, page, small, list(nav.on))
             child = pairs.alias(j).join(child.alias(c), all_of([F.col(f"{j}.{a}") == F.col(f"{c}.{b}") for a, b in nav.via]))
             child = child.select(*[F.col(f"{c}.{x}") for x in own], *[F.col(f"{j}.{b}").alias(k) for k, (_, b) in zip(keys, nav.on)])
         else:
             child = child.select(*own, *[F.col(b).alias(k) for k, (_, b) in zip(keys, nav.on)])
+            child = _of_page(child, page, small, [(a, k) for k, (a, _) in zip(keys, nav.on)])
         counts = child.groupBy(*keys).agg(F.count("*").alias("__count")) if nav.many and (q.count or item.count_only) else None
         names = list(df.columns)
         if not item.count_only:
@@ -72,7 +80,7 @@ def expand(df: DataFrame, spec: EntitySpec, items: tuple[Expand, ...], tr: Trans
                 if skip:
                     child = child.where(F.col("__rn") > skip)
             sort = ["__rn"] if "__rn" in child.columns else [F.col(k).alias(f"__k{i}") for i, k in enumerate(target.key)]
-            child = expand(child, target, q.expand, tr, limit, depth + 1, here)
+            child = expand(child, target, q.expand, tr, limit, depth + 1, here, None if page is None else child)
             shown = _shown(tr, target, own, q, child.columns)
             row = F.struct(*[F.col(f"`{x}`") for x in shown])
             if nav.many:
@@ -86,6 +94,15 @@ def expand(df: DataFrame, spec: EntitySpec, items: tuple[Expand, ...], tr: Trans
     return df
 
 
+def _of_page(rows: DataFrame, page: DataFrame | None, small: bool, on: list[tuple[str, str]]) -> DataFrame:
+    """Those rows that a row of the page has the keys of; on: columns of the page and of rows."""
+    if page is None:
+        return rows
+    names = [f"__page_{i}" for i in range(len(on))]
+    keys = page.select(*[F.col(f"`{a}`").alias(n) for n, (a, _) in zip(names, on)])
+    return rows.join(F.broadcast(keys) if small else keys, all_of([F.col(b) == F.col(n) for n, (_, b) in zip(names, on)]), "left_semi")
+
+
 def _attach(df, child, nav, keys, names, column, name):
     p = "__parent"
     on = all_of([F.col(f"{p}.{a}") == F.col(k) for k, (a, _) in zip(keys, nav.on)])

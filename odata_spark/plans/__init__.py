@@ -52,7 +52,8 @@ def plan(registry: Registry, spec: EntitySpec, query: ODataQuery, request: Any =
     if query.orderby or paging:
         df = _page(tr.sorted(df, spec, query.orderby), query.skip, n)
     if query.expand:
-        df = expand(df, spec, query.expand, tr, spec.max_expand_depth or options.max_expand_depth)
+        small = n is not None and n <= (spec.max_top or options.max_top)
+        df = expand(df, spec, query.expand, tr, spec.max_expand_depth or options.max_expand_depth, page=None if n is None else df, small=small)
         if query.orderby or paging:  # joins do not keep the order
             df = tr.sorted(df, spec, query.orderby)
     if query.select is not None:

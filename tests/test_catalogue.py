@@ -37,3 +37,10 @@ def test_pushdown(spark):
     df = QUERIES["filter_range_and"](spark, FOLDER)
     assert "GreaterThanOrEqual(o_totalprice" in df._jdf.queryExecution().toString()
     assert "LeftAnti" in QUERIES["all_1n"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_children_of_a_page(spark):
+    """Only the children of the page's rows reach the window; the page's keys are broadcast."""
+    plan = QUERIES["expand_page"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("row_number") :]
+    assert "LeftSemi" in window and "rightHint=(strategy=broadcast)" in window
