@@ -12,14 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odata_spark.llm import line_dedup, ngram_join, packing, quality, toxicity
-from odata_spark.llm.common import materialize, read, remove, scratch, write
+from odata_spark.llm.common import bitmap, materialize, might_hold, read, remove, scratch, write
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Texts are written once with their votes, and never shuffled."""
-    feats = quality.features(docs.select(F.struct(*docs.columns).alias("__row"), "text"))
-    feats = materialize(feats.select("__row", "n_words", "n_repeat_words", *quality.VOTES), "quality")
-    return quality.verdict(feats, quality.fit(feats)).where("kept").select("__row.*")
+    """Documents that the quality rules reject go.
+
+    A verdict hangs on the text alone. So the votes are written with two hashes of the text, not with the text,
+    and only rows that a bitmap of the rejected texts does not rule out meet these in a join.
+    """
+    keys = {"__key1": F.xxhash64("text"), "__key2": F.xxhash64(F.lit(1), "text")}
+    feats = quality.features(docs.select("text").withColumns(keys))
+    feats = materialize(feats.select(*keys, "n_words", "n_repeat_words", *quality.VOTES), "quality")
+    gone = materialize(quality.verdict(feats, quality.fit(feats)).where("not kept").select(*keys).distinct(), "rejected")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), *[key.alias(name) for name, key in keys.items()])
+    marked = might_hold(rows, "__key1", materialize(bitmap(gone, "__key1"), "rejected_bits"))
+    spared = marked.where("__maybe").join(gone, [*keys], "left_anti")
+    return marked.where("not __maybe").select("__row.*").union(spared.select("__row.*"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
