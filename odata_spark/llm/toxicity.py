@@ -45,6 +45,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 GRAM, GRAM_SCALE = 4, 0.3
 BEGINNINGS = (4, 5, 6)
 CAPACITY, MEMO = 200_000, 400_000
+#: Entries of words that a task of mine() remembers (it hands its counts on beyond MEMO); words of MEMO_WORD or more are not remembered.
+HELD = 100_000
+MEMO_WORD = 40
 MAX_LABELLED = 200_000
 PRIOR_ROWS, PSEUDO, RIDGE = 20.0, 3.0, 0.2
 #: What tells the classes apart: of toxic texts, so many at most show no voter anything.
@@ -108,20 +111,26 @@ def mine(labelled: DataFrame, least: int = 3, llr: float = 25.0, times: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
         memo: dict[str, list[str]] = {}
+        held = 0
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
                 found: set[str] = set()
                 for w in set(words_of(text.as_py())):
-                    if w not in memo:
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        memo[w] = entries(w)
-                    found.update(memo[w])
+                    own = memo.get(w)
+                    if own is None:
+                        own = entries(w)
+                        if len(own) < MEMO_WORD:
+                            if held > HELD:
+                                memo.clear()
+                                held = 0
+                            memo[w] = own
+                            held += len(own)
+                    found.update(own)
                 counts[toxic == 1].update(found)
                 counts[toxic == 1][""] += 1  # the texts themselves
-            if len(counts[0]) + len(counts[1]) > MEMO:
-                yield _counted(*counts)
-                counts = Counter(), Counter()
+                if len(counts[0]) + len(counts[1]) > MEMO:
+                    yield _counted(*counts)
+                    counts = Counter(), Counter()
         yield _counted(*counts)
 
     n = labelled.select("text", "toxic").mapInArrow(run, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
@@ -315,6 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     training = docs.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(known, "doc_id", "left").select("text", "toxic")
     rows = training.mapInArrow(run, "entries array<string>, votes array<tinyint>, toxic int").groupBy("entries", "votes", "toxic").agg(F.count("*").alias("n"))
     rows = materialize(rows, "toxic_votes")
+    shared.unpersist()
     found = rows.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     votes = np.array([r["votes"] for r in found], int).reshape(-1, len(VOTERS))
     seen = rows.where("toxic is not null").groupBy("votes", "toxic").agg(F.sum("n").alias("n")).collect()
