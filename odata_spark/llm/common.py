@@ -41,6 +41,15 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """Batches of rows that go to Python hold about `most` bytes, not 10,000 rows of any length; a session's own setting stands."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, bitmap, materialize, might_hold, ship, text_or_empty
+from .common import WS, bitmap, bound_batches, materialize, might_hold, ship, text_or_empty
 from .components import components
 
 SPREAD, DEPTH = 2.0, 3
@@ -328,6 +328,7 @@ def _classes(docs: DataFrame, threshold: float, width: int, recall: float) -> tu
     """Rows (doc_id, keys, node; null without words), and what is known of each node: its class, links and the class's first row."""
     runs = runs_for(recall, threshold)
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     docs = with_keys(docs.select("doc_id", "text"))
     all_docs = materialize(docs.mapInArrow(_describe(width, runs), f"doc_id {kind}, {K1} long, {K2} long, node long, n int, sketch binary, chosen array<array<long>>"), "sets")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, materialize, ship
+from .common import bound_batches, crc_mod, materialize, ship
 
 _WORD = re.compile(r"[^\W\d_]+")
 GRAM, GRAM_SCALE = 4, 0.3
@@ -304,6 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     of them at most (the first by hash); the label model and the classifier all documents that are not."""
     spark = docs.sparkSession
     ship(spark)
+    bound_batches(spark)
     known = labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = F.broadcast(materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "known"))
     labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
@@ -344,6 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs with the probability that a text is toxic, and whether it is 0.5 or more."""
     ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast((model["names"], model["ordinary"], {k: w for k, w in model["weights"].items() if w}, model["bias"]))
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odata_spark.llm import bpe, components, html_extract, licenses, line_dedup, media, ngram_join, packing, quality, suffix_lm, toxicity
-from odata_spark.llm.common import materialize
+from odata_spark.llm.common import BATCH_BYTES, materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "palabra " * 30_000
@@ -535,6 +535,24 @@ def test_html_wrappers_and_depth():
     assert len(ex("<p>" + "word " * 400_000)) == 400_000 * 5 - 1
 
 
+def test_batches_for_python_are_bounded(spark):
+    """Long texts go to Python a few at a time, in every operator of the pipeline that runs there; a session's own bound stands."""
+    long = materialize(spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 2000)).alias("text")), "long")
+    known = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    largest = lambda: long.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    short, model = long.limit(1), {"names": [], "ordinary": [], "weights": {}, "bias": 0.0}
+    for run in (lambda: ngram_join.keep_one(short), lambda: toxicity.fit(short, known), lambda: toxicity.score(short, model)):
+        spark.conf.unset(BATCH_BYTES)
+        assert largest() > 25_000_000
+        run()
+        assert largest() < 3_000_000
+    spark.conf.set(BATCH_BYTES, "5000000")
+    toxicity.score(short, model)
+    assert 4_000_000 < largest() < 6_000_000
+    spark.conf.unset(BATCH_BYTES)
+
+
 def test_pipeline(spark, odd_rows, tmp_path):
     """Each stage against what its operator says of every row by itself; clashing columns, repeated and missing ids."""
     import corpus_pipeline
