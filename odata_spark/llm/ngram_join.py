@@ -292,16 +292,22 @@ def grouped(df: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, "node").mapInArrow(by_group(fn, key), schema)
 
 
-def candidate_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """sets (node, n, sketch, chosen) -> edges a, b between sets that may be similar; some repeat."""
+def candidate_edges(sets: DataFrame, chosen: DataFrame, threshold: float, runs: int) -> DataFrame:
+    """sets (node, n, sketch, tokens: those chosen for each run's first level) -> edges a, b between sets that may be similar; some repeat.
+
+    chosen (node, chosen) has the tokens of all levels, in any number of rows for a node; only those of nodes in large buckets are gathered.
+    """
     agree = max(1, math.floor(runs * DEPTH * threshold - 4.2 * math.sqrt(runs * DEPTH * threshold * (1 - threshold))))
-    rows = sets.select("node", "n", "sketch", F.posexplode("chosen").alias("k", "tokens"))
-    rows = rows.where(F.col("k") % DEPTH == 0).select("node", F.explode("tokens").alias("token"), "k").select("node", F.xxhash64("k", "token").alias("path"), F.floor(F.col("k") / DEPTH).cast("int").alias("run"))
+    rows = sets.select("node", F.posexplode("tokens").alias("run", "tokens")).select("node", "run", F.explode("tokens").alias("token"))
+    rows = rows.select("node", F.xxhash64(F.col("run") * DEPTH, "token").alias("path"), "run")
     edges = None
     for level in range(DEPTH):
-        rows = materialize(rows, f"paths{level}")
+        if level:
+            rows = materialize(rows, f"paths{level}")
         sizes = materialize(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level}")
-        full = rows.join(sizes, "path")
+        # Most paths are of one set alone. A bitmap of the others keeps these from being shuffled; the join decides in any case.
+        shared = might_hold(rows, "path", materialize(bitmap(sizes, "path"), f"shared{level}")).where("__maybe").drop("__maybe")
+        full = materialize(shared.join(sizes, "path"), f"full{level}")
         small, large = full.where(F.col("size") <= SMALL), full.where(F.col("size") > SMALL)
         found = grouped(small.join(sets.select("node", "n", "sketch"), "node").select("path", F.lit(0).alias("block"), "node", "n", "sketch"), "path", _candidates(threshold, agree), "a long, b long")
         edges = found if edges is None else edges.union(found)
@@ -313,7 +319,9 @@ def candidate_edges(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
             break
         else:
             # One row for each node carries the tokens of all runs; they are dealt out after the join.
-            more = sets.select("node", F.filter("chosen", lambda x, k: k % DEPTH == level + 1).alias("next"))
+            asked = materialize(bitmap(large.select("node"), "node"), f"asked{level}")
+            more = might_hold(chosen.select("node", F.filter("chosen", lambda x, k: k % DEPTH == level + 1).alias("next")), "node", asked)
+            more = more.where("__maybe").groupBy("node").agg(F.first("next").alias("next"))
             rows = large.select("node", "run", "path").join(more, "node").select("node", "path", "run", F.explode(F.get("next", F.col("run"))).alias("token"))
             rows = rows.select("node", F.xxhash64("path", "token").alias("path"), "run")
     return edges
@@ -333,9 +341,11 @@ def _classes(docs: DataFrame, threshold: float, width: int, recall: float) -> tu
     docs = with_keys(docs.select("doc_id", "text"))
     all_docs = materialize(docs.mapInArrow(_describe(width, runs), f"doc_id {kind}, {K1} long, {K2} long, node long, n int, sketch binary, chosen array<array<long>>"), "sets")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", K1, K2)
-    sets = all_docs.where("node is not null").groupBy("node").agg(F.count("*").alias("times"), F.min(row).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("chosen").alias("chosen"))
+    with_words = all_docs.where("node is not null")
+    tokens = F.filter("chosen", lambda x, k: k % DEPTH == 0)
+    sets = with_words.groupBy("node").agg(F.count("*").alias("times"), F.min(row).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first(tokens).alias("tokens"))
     sets = materialize(sets, "nodes")
-    cand = components(candidate_edges(sets, threshold, runs))
+    cand = components(candidate_edges(sets, with_words.select("node", "chosen"), threshold, runs))
     sized = cand.groupBy("root").agg(F.count("*").alias("size"))
     members = cand.join(sized, "root").join(sets.select("node", "times", F.col(f"row.{K1}").alias("__key")), "node")
     members = materialize(members, "members")

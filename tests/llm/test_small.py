@@ -153,6 +153,24 @@ def test_jaccard_in_blocks(docs, rows, monkeypatch):
     assert found_classes(ngram_join.jaccard_classes(docs).collect()) == brute_classes(rows)
 
 
+def test_jaccard_moves_only_shared_paths(spark, monkeypatch):
+    """Texts that share no path with another give no path rows; of tokens, a set carries those of the first level."""
+    rnd, made, keep = random.Random(5), {}, ngram_join.materialize
+
+    def kept(df, name):
+        made[name] = keep(df, name)
+        return made[name]
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    texts = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(60)) for _ in range(200)]
+    near = texts[0].rsplit(" ", 2)[0] + " other end"
+    rows = ngram_join.jaccard_classes(spark.createDataFrame(list(enumerate([*texts, near])), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i % 200 for i in range(201)}
+    assert max(df.count() for df in made.values()) == len(rows)
+    tokens = made["nodes"].select(F.posexplode("tokens").alias("run", "some"))
+    assert tokens.agg(F.max("run")).first()[0] == ngram_join.runs_for(0.999, 0.8) - 1
+
+
 def test_jaccard_recall_at_the_last_level():
     """Of pairs at Jaccard 0.8, 0.999 share a chosen token at every level of some run, as split buckets need."""
     pairs, texts = 4000, []
