@@ -18,7 +18,9 @@ def op2_ngram_jaccard_join(spark, sf_dir):
 
 
 def op3_lm_scoring(spark, sf_dir):
-    return suffix_lm.score_documents(read(spark, sf_dir, "documents"))
+    out = suffix_lm.score_documents(read(spark, sf_dir, "documents"))
+    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 1 * (F.col("train_words") + 1))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
 
 
 def op4_packing(spark, sf_dir):

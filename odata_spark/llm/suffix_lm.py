@@ -225,7 +225,10 @@ def gram_scores(grams: DataFrame) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; and what other base scores need: train_words (V) and log_counts, the sum of log10(c + 1).
+
+    base_score divides each token by (N + 1) * (V + 1), which is no distribution; the query op3 has its own.
+    """
     spark = docs.sparkSession
     ship(spark)
     held = crc_mod(F.col("doc_id"), mod) == rest
@@ -310,5 +313,5 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
         "doc_id", (crc_mod(F.col("doc_id"), mod) == rest).alias("held_out"), "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        "score",
+        "score", F.lit(v).cast("long").alias("train_words"), F.col("logs").alias("log_counts"),
     )

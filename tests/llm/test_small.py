@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from odata_spark.llm import bpe, components, html_extract, licenses, line_dedup, media, ngram_join, packing, quality, suffix_lm, toxicity
+from odata_spark.llm import bpe, components, html_extract, licenses, line_dedup, media, ngram_join, packing, quality, queries, suffix_lm, toxicity
 from odata_spark.llm.common import BATCH_BYTES, materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -348,6 +348,27 @@ def test_suffix_tree_and_nul_words(spark):
     assert all(r.base_score == pytest.approx(want) and r.train_tokens == 5 * n for r in got)
 
 
+def test_lm_query_keeps_its_contract(spark, rows, empty, tmp_path):
+    """The base is sum of log10((c + 1) / (N + 1 * (V + 1))), a distribution over the training words and one unknown."""
+    odd = rows + [(200 + i, t, "en", "s", 1) for i, t in enumerate(["\x00", "\x00\x00 \x01", "a\x1cb\x85c\xa0d", "İ É K ß", "\r\n\x0b\x0c x\ty", "The the THE", "a" * 7000])]
+    training = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), None]
+    for name, some in (("all", odd), ("held", [r for r in odd if not training(r[0])])):
+        counts = defaultdict(int)
+        for i, text, *_ in some:
+            for t in split(text) if training(i) else ():
+                counts[t] += 1
+        n = sum(counts.values())
+        want = sorted((str(i), not training(i), len(x := split(text)), sum(t in counts for t in x), n, sum(np.log10((counts.get(t, 0) + 1) / (n + 1 * (len(counts) + 1))) for t in x)) for i, text, *_ in some)
+        spark.createDataFrame(some, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = queries.op3_lm_scoring(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        got = sorted((str(r.doc_id), *r[1:6]) for r in out.collect())
+        assert [r[:5] for r in got] == [r[:5] for r in want] and [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=1e-9, abs=1e-9)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op3_lm_scoring(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_licenses(docs, rows, empty):
     text = "Intro. Licensed under the Apache License, Version 2.0; CC-BY 4.0? Under the MIT License!"
     s = licenses.LicenseScanner().scan(text)
