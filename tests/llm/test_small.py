@@ -74,6 +74,39 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_moves_only_lines_that_recur(spark, monkeypatch):
+    """Lines that a bitmap rules out are not shuffled with their positions, two tables are written, and keys are the contract's for any letters."""
+    made, keep = {}, line_dedup.materialize
+
+    def kept(df, name):
+        made[name] = df
+        return keep(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", kept)
+    rnd = random.Random(7)
+    shared = ["  The SAME line In All Texts\r", "Ünd ÉINE Zeile MIT Ä und İ", "K (Kelvin) ſ and ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    cased = lambda x: "".join(c.swapcase() if c in "ABCDEFabcdef" and rnd.random() < 0.5 else c for c in x)
+    rows = [(i, "\n".join([*(words(rnd, 9, 10**6) for _ in range(5)), *map(cased, shared), shared[1].lower()])) for i in range(40)]
+    holders = defaultdict(set)
+    for i, text in rows:
+        for line in text.split("\n"):
+            holders[strip_key(line)].add(i)
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == {i: "\n".join(x for x in t.split("\n") if len(holders[strip_key(x)]) < 3 or max(holders[strip_key(x)]) == i) for i, t in rows}
+    assert list(made) == ["line_dups", "line_drops"] and made["line_drops"].count() == 39
+    assert "__bits" in made["line_drops"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_dedup_splits_a_text_once(spark):
+    """A lambda that splits the text does so for each line it keeps."""
+    text = "\n".join(f"this is the line of number {i} in each text" if i % 2 else f"own {i}" for i in range(3000))
+    df = line_dedup.line_dedup(spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    inside = [x for x in re.findall(r"transform\(.*?lambdafunction\((.*?)lambda ", plan, re.S)]
+    assert inside and not any("split(" in x for x in inside)
+    assert {(r.doc_id, r["__ld_dropped"], len(r.text.split("\n"))) for r in df.collect()} == {(0, 1500, 1500), (1, 1500, 1500), (2, 1500, 1500), (3, 0, 3000)}
+
+
 def brute_roots(rows):
     """For each row the number of its class, and its links."""
 
