@@ -27,13 +27,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, ship
+from .common import bound_batches, crc_mod, materialize, ship
 
 DEPTH = 5  # symbols of context; with the next one they fit 64 bits
 LEAST, HOT, HOT_GRAM, GAIN, STRENGTH = 2, 1e-5, 1e-7, 12.0, 4.0
@@ -43,6 +44,7 @@ END_WORD = b" "  # the end token among words, which hold no space
 SYMBOLS = 256
 MASK = np.uint64((1 << 48) - 1)
 CACHE_BITS = 18
+OUT_ROWS = 50_000  # rows that the executor gets from Python at once
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -73,8 +75,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for training, some in enumerate(grams):
             if some:
                 g, c = np.unique(np.concatenate(some), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.binary()), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64) * training), pa.array(c.astype(np.int64))], names)
-        yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64()), pa.nulls(len(words), pa.int64())], names)
+                for i in range(0, len(g), OUT_ROWS):
+                    x, y = g[i : i + OUT_ROWS].astype(np.int64), c[i : i + OUT_ROWS].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.binary()), pa.array(x), pa.array(y * training), pa.array(y)], names)
+        seen = iter(words.items())
+        while some := list(islice(seen, OUT_ROWS)):
+            w, c = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(w), pa.int64())], names)
 
     for b in batches:
         for text, training in zip(b.column(0), b.column(1).to_pylist()):
@@ -202,8 +209,8 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         tree = SuffixTree([*shared.value, *(level(g, n.astype(float), k) for k in range(LOW + 1, DEPTH + 1))])
         own = np.isin(g >> np.uint64(8) & np.uint64(mask), tree.retained[LOW + 1])
         p = tree._prob(g >> np.uint64(8), (g & np.uint64(255)).astype(np.int64), DEPTH)
-        for i in range(0, len(g), 50_000):
-            j = slice(i, i + 50_000)
+        for i in range(0, len(g), OUT_ROWS):
+            j = slice(i, i + OUT_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(gram[j]), pa.array(places[j]), pa.array(p[j], mask=~own[j])], ["gram", "places", "p"])
 
     ending = F.shiftright("gram", 8).bitwiseAND(F.lit(mask))
@@ -231,6 +238,7 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
+    bound_batches(spark)
     held = crc_mod(F.col("doc_id"), mod) == rest
     counts = docs.select("text", (~held).alias("training")).mapInArrow(_count, "word binary, gram long, n long, places long")
     counts = materialize(counts.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("places").alias("places")), "lm_counts")

@@ -402,6 +402,28 @@ def test_lm_query_keeps_its_contract(spark, rows, empty, tmp_path):
     assert queries.op3_lm_scoring(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_lm_batches_are_bounded(spark):
+    """Texts go to Python a few at a time and counts come back in parts, and none is lost."""
+    rnd = random.Random(4)
+    texts = [words(rnd, 4000, 10**7) for _ in range(40)]
+    parts = list(suffix_lm._count(iter([pa.RecordBatch.from_pydict({"text": texts, "training": [True] * 40})])))
+    assert max(p.num_rows for p in parts) <= 50_000
+    table, found = pa.Table.from_batches(parts).to_pylist(), defaultdict(int)
+    for r in table:
+        found[r["word"] if r["word"] is not None else r["gram"]] += r["n"]
+    want = defaultdict(int, {b" ": 40})
+    for t in texts:
+        for w in t.encode().split():
+            want[w] += 1
+        for g in suffix_lm.codes(t.encode().split()).tolist():
+            want[g] += 1
+    assert found == want and len(found) > 150_000
+    spark.conf.unset(BATCH_BYTES)
+    suffix_lm.score_documents(spark.createDataFrame([(1, "a text")], "doc_id long, text string"))
+    assert spark.conf.get(BATCH_BYTES, None) == str(2 << 20)
+    spark.conf.unset(BATCH_BYTES)
+
+
 def test_licenses(docs, rows, empty):
     text = "Intro. Licensed under the Apache License, Version 2.0; CC-BY 4.0? Under the MIT License!"
     s = licenses.LicenseScanner().scan(text)
