@@ -265,8 +265,8 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
             return np.where(hot_grams[at] == g, hot_p[at], np.nan)
 
         for b in batches:
-            uid, word, tf, places, toks, hits, base, score, out = [], [], [], [], [], [], [], [], []
-            for row, text in zip(b.column(0), b.column(2)):
+            sizes, rares, grams_of, tf, places, toks, hits, base, score = [], [], [], [], [], [], [], [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(2)):
                 found = tokens(text.as_py())
                 count = Counter(found)
                 count[END_WORD] += 1
@@ -277,29 +277,40 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
                         total += k * logs[w]
                     else:
                         rare.append((w, k))
-                row = row.as_py()
                 grams = codes(found)
                 logp = cached(grams, cache, find)
                 cold = np.isnan(logp)
                 g, k = np.unique(grams[cold], return_counts=True)
                 # Documents without rare tokens and grams still need a row: a key that neither can have.
                 rare = rare or [(b"  %d" % row, 0)] * (not len(g))
-                uid += [row] * (len(rare) + len(g))
-                word += [w for w, _ in rare]
-                word += [gram_key(x) for x in g.tolist()]
-                tf += [k for _, k in rare] + [0] * len(g)
-                places += [0] * len(rare) + k.tolist()
-                first = [None] * (len(rare) + len(g) - 1)
-                toks += [len(found) + 1, *first]
-                hits += [here, *first]
-                base += [total, *first]
-                score += [float(logp[~cold].sum()), *first]
-                out += [len(uid) - len(first) - 1]
-            # doc_id only on each document's first row
-            at = np.full(len(uid), -1)
-            at[out] = np.arange(b.num_rows)
+                sizes += [len(rare), len(g)]
+                rares += rare
+                grams_of.append(g)
+                tf += [k for _, k in rare]
+                places.append(k)
+                toks.append(len(found) + 1)
+                hits.append(here)
+                base.append(total)
+                score.append(float(logp[~cold].sum()))
+            # A document's rows: its rare tokens, then its grams; doc_id and its own sums only on the first one.
+            sizes = np.array(sizes, np.int64)
+            isgram = np.repeat(np.arange(len(sizes)) % 2 == 1, sizes)
+            each = sizes.reshape(-1, 2).sum(axis=1)
+            at = np.full(len(isgram), -1)
+            at[np.cumsum(each) - each] = np.arange(b.num_rows)
+            first, n_rare = pa.array(at, mask=at < 0), len(rares)
+            key = np.concatenate([np.zeros(0, np.uint64), *grams_of])
+            packed = np.full((len(key), DEPTH + 2), ord(b" "), np.uint8)  # gram_key of each
+            packed[:, 1:] = key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
+            keys = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.arange(0, (len(key) + 1) * (DEPTH + 2), DEPTH + 2, dtype=np.int32)), pa.py_buffer(packed.tobytes())])
+            order = np.empty(len(isgram), np.int64)
+            order[~isgram], order[isgram] = np.arange(n_rare), np.arange(n_rare, len(isgram))
+            word = pa.concat_arrays([pa.array([w for w, _ in rares], pa.binary()), keys]).take(pa.array(order))
+            tfs, spots = np.zeros(len(isgram), np.int64), np.zeros(len(isgram), np.int64)
+            tfs[~isgram], spots[isgram] = tf, np.concatenate([np.zeros(0, np.int64), *places])
+            once = [pa.array(x, kind).take(first) for x, kind in ((toks, pa.int64()), (hits, pa.int64()), (base, pa.float64()), (score, pa.float64()))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), b.column(1).take(pa.array(at, mask=at < 0)), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), pa.array(places, pa.int64()), pa.array(toks, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
+                [pa.array(np.repeat(b.column(0).to_numpy(), each)), b.column(1).take(first), word, pa.array(tfs), pa.array(spots), *once],
                 ["uid", "doc_id", "word", "tf", "places", "toks", "hits", "base", "score"],
             )
 
