@@ -25,12 +25,12 @@ an empty table. Only doc_id and text are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import islice
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,10 @@ SYMBOLS = 256
 MASK = np.uint64((1 << 48) - 1)
 CACHE_BITS = 18
 OUT_ROWS = 50_000  # rows that the executor gets from Python at once
+HELD = 1_000_000  # counts of a kind that a task adds up before it hands them on
+BUFFER = 4_000_000  # grams that a task counts at once
+CHUNK, CHUNK_TEXTS = 1 << 19, 1 << 15  # bytes of texts, and texts, that are read at once
+_FOLD = bytes(32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256)).lower()
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -66,35 +70,140 @@ def gram_key(gram: int) -> bytes:
     return b" " + gram.to_bytes(DEPTH + 1, "big")
 
 
+@dataclass
+class Chunk:
+    """Some texts of a batch, read together: the words of all, and the grams of all, in the order of the texts."""
+
+    at: int  # the first text's place in the batch
+    words: pa.Array  # the different words
+    codes: np.ndarray  # of each word of the texts, its place in `words`
+    n_words: np.ndarray  # of each text
+    grams: np.ndarray
+    n_grams: np.ndarray  # of each text
+
+    def __len__(self) -> int:
+        return len(self.n_words)
+
+
+def chunks(texts: pa.Array) -> Iterator[Chunk]:
+    """tokens and codes of the texts, about CHUNK bytes of them at once."""
+    texts = pa.array([], texts.type) if not len(texts) else texts.fill_null("")
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], wide, len(texts) + 1, texts.offset * np.dtype(wide).itemsize).tolist() if len(texts) else [0]
+    data = memoryview(texts.buffers()[2] or b"") if len(texts) else memoryview(b"")
+    i = 0
+    while i < len(texts):
+        j = i + 1
+        while j < len(texts) and j - i < CHUNK_TEXTS and ends[j + 1] - ends[i] <= CHUNK:
+            j += 1
+        yield _chunk(i, [data[ends[k] : ends[k + 1]] for k in range(i, j)])
+        i = j
+
+
+def _chunk(first: int, texts: list[memoryview]) -> Chunk:
+    raw = np.frombuffer((b" ".join(texts) + b" ").translate(_FOLD), np.uint8)
+    space = raw == 32
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]  # each word with one space after it
+    size = np.array([len(t) + 1 for t in texts])
+    size = np.add.reduceat(keep, np.cumsum(size) - size, dtype=np.int64)
+    raw = raw[keep]
+    last, ends = np.flatnonzero(raw == 32), np.cumsum(size)
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(last), [None, pa.py_buffer(np.concatenate([[0], last + 1]).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+    n_words = np.diff(np.searchsorted(last, ends), prepend=0)
+    if not raw.all():
+        raw = np.maximum(raw, 1)
+    # Between texts, the end symbol and the context of the next text's first symbol.
+    view, starts = memoryview(raw), ends - size
+    line = END * DEPTH + (END * DEPTH).join([view[i:j] for i, j in zip(starts.tolist(), ends.tolist())]) + END
+    one = np.frombuffer(line, np.uint8).astype(np.uint64)
+    two = one[:-1] << np.uint64(8) | one[1:]
+    four = two[:-2] << np.uint64(16) | two[2:]
+    grams = four[:-2] << np.uint64(16) | two[4:]
+    own = np.ones(len(grams), bool)
+    gap = (ends + DEPTH * np.arange(len(ends)))[:-1, None] + np.arange(1, DEPTH)
+    own[gap.ravel()] = False
+    return Chunk(first, pc.binary_slice(spelled.dictionary.cast(pa.binary()), 0, -1), spelled.indices.to_numpy(), n_words, grams[own], size + 1)
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where in sorted keys each key begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, training -> partial counts: training tokens (word) and 6-grams (gram; n in training texts, places in all)."""
-    words, grams, size = Counter(), ([], []), 0
-    names = ["word", "gram", "n", "places"]
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for training, some in enumerate(grams):
-            if some:
-                g, c = np.unique(np.concatenate(some), return_counts=True)
-                for i in range(0, len(g), OUT_ROWS):
-                    x, y = g[i : i + OUT_ROWS].astype(np.int64), c[i : i + OUT_ROWS].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.binary()), pa.array(x), pa.array(y * training), pa.array(y)], names)
-        seen = iter(words.items())
-        while some := list(islice(seen, OUT_ROWS)):
-            w, c = zip(*some)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), pa.array(c, pa.int64()), pa.nulls(len(w), pa.int64())], names)
+    """text, training -> partial counts: training tokens (word) and 6-grams (gram; n in training texts, places in all).
 
+    A task adds up its own counts and hands them on when it holds more than HELD different ones of a kind.
+    """
+    names, one = ["word", "gram", "n", "places"], np.uint64(1)
+    raw: list[np.ndarray] = []  # grams not yet counted, twice the gram and one more if in a training text
+    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    words: list[pa.Table] = []
+    ends = 0
+
+    def count() -> None:
+        if raw:
+            grams.append(np.unique(np.concatenate(raw), return_counts=True))
+            raw.clear()
+
+    def merge_grams() -> None:
+        if len(grams) > 1:
+            g, c = (np.concatenate(x) for x in zip(*grams))
+            order = np.argsort(g, kind="stable")
+            g = g[order]
+            at = _runs(g)
+            grams[:] = [(g[at], np.add.reduceat(c[order], at))]
+
+    def merge_words() -> None:
+        if len(words) > 1:
+            words[:] = [pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})]
+
+    def flush_grams() -> Iterator[pa.RecordBatch]:
+        for both, c in grams:
+            g = both >> one
+            at = _runs(g)
+            places, n = np.add.reduceat(c, at), np.add.reduceat(np.where(both & one, c, 0), at)
+            g = g[at].astype(np.int64)
+            for i in range(0, len(g), OUT_ROWS):
+                j = slice(i, i + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(g[j]), pa.binary()), pa.array(g[j]), pa.array(n[j]), pa.array(places[j])], names)
+        grams.clear()
+
+    def flush_words() -> Iterator[pa.RecordBatch]:
+        for t in words:
+            for b in t.combine_chunks().to_batches(max_chunksize=OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([b.column("word"), pa.nulls(len(b), pa.int64()), b.column("n"), pa.nulls(len(b), pa.int64())], names)
+        words.clear()
+
+    size = 0
     for b in batches:
-        for text, training in zip(b.column(0), b.column(1).to_pylist()):
-            found = tokens(text.as_py())
-            if training:
-                words.update(found)
-                words[END_WORD] += 1
-            grams[training].append(codes(found))
-            size += len(grams[training][-1])
-            if size > 4_000_000:
-                yield from flush()
-                words, grams, size = Counter(), ([], []), 0
-    yield from flush()
+        for x in chunks(b.column(0)):
+            training = b.column(1).slice(x.at, len(x)).to_numpy(zero_copy_only=False).astype(bool)
+            c = np.bincount(x.codes[np.repeat(training, x.n_words)], minlength=len(x.words))
+            seen = np.flatnonzero(c)
+            words.append(pa.table({"word": x.words.take(pa.array(seen)), "n": c[seen]}))
+            ends += int(training.sum())
+            raw.append(x.grams << one | np.repeat(training, x.n_grams).astype(np.uint64))
+            size += len(raw[-1])
+            if size > BUFFER:
+                count()
+                size = 0
+                if sum(len(g) for g, _ in grams) > 2 * HELD:
+                    merge_grams()
+                    if len(grams[0][0]) > HELD:
+                        yield from flush_grams()
+            if sum(map(len, words)) > 2 * HELD:
+                merge_words()
+                if len(words[0]) > HELD:
+                    yield from flush_words()
+    count()
+    merge_grams()
+    yield from flush_grams()
+    if ends:
+        words.append(pa.table({"word": pa.array([END_WORD], pa.binary()), "n": [ends]}))
+    merge_words()
+    yield from flush_words()
 
 
 class SuffixTree:
@@ -182,6 +291,38 @@ def cached(grams: np.ndarray, cache: list[np.ndarray], find: Callable[[np.ndarra
     return out
 
 
+class HotGrams:
+    """Grams in order of their hashes' first bits, with where each value of these begins, and log10 of their probabilities."""
+
+    def __init__(self, grams: np.ndarray, p: np.ndarray, places: np.ndarray):
+        """places: the grams of many come first among those of equal bits."""
+        self.shift = np.uint64(63 - len(grams).bit_length())
+        slot = self._slot(grams)
+        order = np.lexsort((-places, slot))
+        self.grams, self.p = np.append(grams[order], MASK + np.uint64(1)), np.append(p[order], np.nan)
+        self.first = np.searchsorted(slot[order], np.arange((1 << 64 - int(self.shift)) + 1)).astype(np.int32)
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of the probability; NaN for other grams."""
+        slot = self._slot(grams)
+        at = self.first[slot]
+        hit = self.grams[at] == grams
+        out = np.where(hit, self.p[at], np.nan)
+        todo = np.flatnonzero(~hit)
+        at, end = at[todo], self.first[slot[todo] + 1]
+        while len(todo):
+            at = at + 1
+            more = np.flatnonzero(at < end)
+            todo, at, end = todo[more], at[more], end[more]
+            hit = self.grams[at] == grams[todo]
+            out[todo[hit]] = self.p[at[hit]]
+            todo, at, end = todo[~hit], at[~hit], end[~hit]
+        return out
+
+
 def level(grams: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of contexts of k symbols, those seen LEAST times, from grams (all those that end with such a context and a symbol)."""
     g, at = np.unique(grams & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
@@ -231,6 +372,48 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     return scored.mapInArrow(fill, "gram long, places long, p double")
 
 
+def _rows(b: pa.RecordBatch, x: Chunk, hot_grams: HotGrams, hot: pa.Array, logs: np.ndarray) -> pa.RecordBatch:
+    """uid, doc_id and text of a chunk -> its texts' rare tokens and grams, each a row, that are joined with their counts and scores.
+
+    doc_id and the sums over the others are only on a text's first row. hot: the other tokens, and logs: what each adds.
+    """
+    texts = np.arange(len(x))
+    place = pc.index_in(pa.concat_arrays([x.words, pa.array([END_WORD], pa.binary())]), hot).fill_null(-1).to_numpy()
+    of, at = np.repeat(texts, x.n_words), place[x.codes]
+    known = at >= 0
+    hits, base = np.bincount(of[known], minlength=len(x)), np.bincount(of[known], logs[at[known]], len(x)).astype(float)
+    # A text's place above the word's and the gram's.
+    rare, tf = np.unique(of[~known] << 32 | x.codes[~known], return_counts=True)
+    logp = hot_grams.find(x.grams)
+    cold = np.flatnonzero(np.isnan(logp))
+    gram, spots = np.unique(np.repeat(texts, x.n_grams)[cold].astype(np.uint64) << np.uint64(48) | x.grams[cold], return_counts=True)
+    logp[cold] = 0
+    score = np.add.reduceat(logp, np.cumsum(x.n_grams) - x.n_grams)
+    packed = np.full((len(gram), DEPTH + 2), ord(b" "), np.uint8)  # gram_key of each
+    packed[:, 1:] = gram.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
+    word = [x.words.take(pa.array(rare & 0xFFFFFFFF)), pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.arange(0, (len(gram) + 1) * (DEPTH + 2), DEPTH + 2, dtype=np.int32)), pa.py_buffer(packed)])]
+    own = [rare >> 32, (gram >> np.uint64(48)).astype(np.int64)]
+    if place[-1] >= 0:
+        hits, base = hits + 1, base + logs[place[-1]]
+        bare = np.flatnonzero(np.bincount(np.concatenate(own), minlength=len(x)) == 0)  # need a row: a key that nothing has
+        word.append(pa.array([b"  "] * len(bare), pa.binary()))
+    else:
+        bare = texts
+        word.append(pa.array([END_WORD] * len(bare), pa.binary()))
+        tf = np.concatenate([tf, np.zeros(len(gram), np.int64), np.ones(len(bare), np.int64)])
+    own = np.concatenate([*own, bare])
+    tf, spots = np.concatenate([tf, np.zeros(len(own) - len(tf), np.int64)]), np.concatenate([np.zeros(len(rare), np.int64), spots, np.zeros(len(bare), np.int64)])
+    at = np.full(len(own), -1)
+    first = np.empty(len(x), np.int64)
+    first[own[::-1]] = np.arange(len(own))[::-1]
+    at[first] = texts
+    once = pa.array(at, mask=at < 0)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(b.column(0).to_numpy()[own]), b.column(1).take(once), pa.concat_arrays(word), pa.array(tf), pa.array(spots), *(pa.array(y).take(once) for y in (x.n_words + 1, hits, base, score))],
+        ["uid", "doc_id", "word", "tf", "places", "toks", "hits", "base", "score"],
+    )
+
+
 def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; and what other base scores need: train_words (V) and log_counts, the sum of log10(c + 1).
 
@@ -249,70 +432,15 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     hot = {bytes(r["word"]): int(r["c"]) for r in words.where(F.col("c") >= floor).collect()}
     scored = materialize(gram_scores(grams), "lm_scores")
     often = max(1.0, HOT_GRAM * (scored.agg(F.sum("places")).first()[0] or 0))
-    top = scored.where(F.col("places") >= often).select("gram", "p").toPandas().sort_values("gram")
-    model = spark.sparkContext.broadcast((top["gram"].to_numpy(np.int64).astype(np.uint64), top["p"].to_numpy(float), hot))
+    top = scored.where(F.col("places") >= often).select("gram", "p", "places").toPandas()
+    found = HotGrams(top["gram"].to_numpy(np.int64).astype(np.uint64), top["p"].to_numpy(float), top["places"].to_numpy(np.int64))
+    model = spark.sparkContext.broadcast((found, pa.array(hot.keys(), pa.binary()), np.log10(np.array([*hot.values()], float) + 1)))
     scale = math.log10(n + 1) + math.log10(v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_grams, hot_p, known = model.value
-        cache, logs = new_cache(), {w: math.log10(c + 1) for w, c in known.items()}
-
-        def find(g: np.ndarray) -> np.ndarray:
-            """log10 of the probability; NaN for grams that are joined."""
-            if not len(hot_grams):
-                return np.full(len(g), np.nan)
-            at = np.minimum(np.searchsorted(hot_grams, g), len(hot_grams) - 1)
-            return np.where(hot_grams[at] == g, hot_p[at], np.nan)
-
         for b in batches:
-            sizes, rares, grams_of, tf, places, toks, hits, base, score = [], [], [], [], [], [], [], [], []
-            for row, text in zip(b.column(0).to_pylist(), b.column(2)):
-                found = tokens(text.as_py())
-                count = Counter(found)
-                count[END_WORD] += 1
-                rare, here, total = [], 0, 0.0
-                for w, k in count.items():
-                    if w in logs:
-                        here += k
-                        total += k * logs[w]
-                    else:
-                        rare.append((w, k))
-                grams = codes(found)
-                logp = cached(grams, cache, find)
-                cold = np.isnan(logp)
-                g, k = np.unique(grams[cold], return_counts=True)
-                # Documents without rare tokens and grams still need a row: a key that neither can have.
-                rare = rare or [(b"  %d" % row, 0)] * (not len(g))
-                sizes += [len(rare), len(g)]
-                rares += rare
-                grams_of.append(g)
-                tf += [k for _, k in rare]
-                places.append(k)
-                toks.append(len(found) + 1)
-                hits.append(here)
-                base.append(total)
-                score.append(float(logp[~cold].sum()))
-            # A document's rows: its rare tokens, then its grams; doc_id and its own sums only on the first one.
-            sizes = np.array(sizes, np.int64)
-            isgram = np.repeat(np.arange(len(sizes)) % 2 == 1, sizes)
-            each = sizes.reshape(-1, 2).sum(axis=1)
-            at = np.full(len(isgram), -1)
-            at[np.cumsum(each) - each] = np.arange(b.num_rows)
-            first, n_rare = pa.array(at, mask=at < 0), len(rares)
-            key = np.concatenate([np.zeros(0, np.uint64), *grams_of])
-            packed = np.full((len(key), DEPTH + 2), ord(b" "), np.uint8)  # gram_key of each
-            packed[:, 1:] = key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - DEPTH :]
-            keys = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.arange(0, (len(key) + 1) * (DEPTH + 2), DEPTH + 2, dtype=np.int32)), pa.py_buffer(packed.tobytes())])
-            order = np.empty(len(isgram), np.int64)
-            order[~isgram], order[isgram] = np.arange(n_rare), np.arange(n_rare, len(isgram))
-            word = pa.concat_arrays([pa.array([w for w, _ in rares], pa.binary()), keys]).take(pa.array(order))
-            tfs, spots = np.zeros(len(isgram), np.int64), np.zeros(len(isgram), np.int64)
-            tfs[~isgram], spots[isgram] = tf, np.concatenate([np.zeros(0, np.int64), *places])
-            once = [pa.array(x, kind).take(first) for x, kind in ((toks, pa.int64()), (hits, pa.int64()), (base, pa.float64()), (score, pa.float64()))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column(0).to_numpy(), each)), b.column(1).take(first), word, pa.array(tfs), pa.array(spots), *once],
-                ["uid", "doc_id", "word", "tf", "places", "toks", "hits", "base", "score"],
-            )
+            for x in chunks(b.column(2)):
+                yield _rows(b.slice(x.at, len(x)), x, *model.value)
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")

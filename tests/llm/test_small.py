@@ -424,6 +424,42 @@ def test_lm_batches_are_bounded(spark):
     spark.conf.unset(BATCH_BYTES)
 
 
+def test_lm_chunks_read_as_texts(monkeypatch):
+    rnd = random.Random(6)
+    texts = ["", None, "\x00", "\x00\x00 \x01", "a\x1cb\x85c\xa0d", "İ É K ß ẞ", "\r\n\x0b\x0c x\ty", "The the  THE \n", "a" * 7000, " "] + [words(rnd, 60, 300) for _ in range(30)] + [""]
+    for chunk, kind in ((1, pa.string()), (900, pa.large_string()), (1 << 19, pa.string())):
+        monkeypatch.setattr(suffix_lm, "CHUNK", chunk)
+        got = []
+        for x in suffix_lm.chunks(pa.array(["cut", *texts], kind).slice(1)):
+            assert x.at == len(got)
+            w, g = np.cumsum(x.n_words), np.cumsum(x.n_grams)
+            got += [([x.words[k].as_py() for k in x.codes[a - m : a]], x.grams[b - n : b].tolist()) for a, m, b, n in zip(w, x.n_words, g, x.n_grams)]
+        assert got == [(f, suffix_lm.codes(f).tolist()) for f in map(suffix_lm.tokens, texts)]
+    assert [*suffix_lm.chunks(pa.array([], pa.string()))] == []
+
+
+def test_lm_tasks_add_up_their_counts(monkeypatch):
+    """A key that many batches of a task have leaves it once, and no count is lost if the task holds too many."""
+    rnd = random.Random(5)
+    texts = [words(rnd, 400, 2000) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "training": [i % 7 > 0 for i in range(60)]})
+    want = None
+    for times in (1, 14):
+        for held in (1_000_000, 1000):
+            monkeypatch.setattr(suffix_lm, "HELD", held, raising=False)
+            monkeypatch.setattr(suffix_lm, "BUFFER", 100_000, raising=False)
+            table = pa.Table.from_batches(suffix_lm._count(iter([batch] * times)))
+            total = defaultdict(lambda: [0, 0])
+            for r in table.to_pylist():
+                k = r["word"] if r["word"] is not None else r["gram"]
+                total[k][0] += r["n"]
+                total[k][1] += r["places"] or 0
+            want = want or dict(total)
+            assert total == {k: [times * a, times * b] for k, (a, b) in want.items()}
+            if held > 1000:
+                assert len(table) == len(total)
+
+
 def test_licenses(docs, rows, empty):
     text = "Intro. Licensed under the Apache License, Version 2.0; CC-BY 4.0? Under the MIT License!"
     s = licenses.LicenseScanner().scan(text)
