@@ -33,8 +33,7 @@ def op5_license_scan(spark, sf_dir):
 
 def op6_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.fit_and_score(docs, read(spark, sf_dir, "labels"))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 

@@ -31,10 +31,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,9 +47,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 GRAM, GRAM_SCALE = 4, 0.3
 BEGINNINGS = (4, 5, 6)
 CAPACITY, MEMO = 200_000, 400_000
-#: Entries of words that a task of mine() remembers (it hands its counts on beyond MEMO); words of MEMO_WORD or more are not remembered.
-HELD = 100_000
-MEMO_WORD = 40
+#: Words of texts that a task of mine() counts at once, and rows that the executor gets from Python at once.
+TALLY, OUT_ROWS = 150_000, 50_000
 MAX_LABELLED = 200_000
 PRIOR_ROWS, PSEUDO, RIDGE = 20.0, 3.0, 0.2
 #: What tells the classes apart: of toxic texts, so many at most show no voter anything.
@@ -64,11 +65,15 @@ THREAT = re.compile(
     r"|\byou (?:will|ll|should|deserve to|are going to|must) (?:\w+ )?(?:die|suffer|burn|bleed|pay|regret)\b|\b(?:kill|hang|drown) yourself\b|\bgo (?:to hell|die)\b"
     r"|\bich (?:werde|will|bring|bringe|mach|mache) (?:dich|euch) (?:um|fertig|kaputt|töten|schlagen)\b|\bje vais (?:te|vous) (?:tuer|frapper|détruire)\b|\b(?:te|os) voy a (?:matar|golpear|destruir)\b"
 )
-#: A threat needs one of these words, so that others' texts need no pattern.
+#: A threat needs one of these words, and one of those below, so that others' texts need no pattern.
 THREAT_WORDS = frozenset("kill hurt beat destroy smash break murder stab shoot burn crush die suffer bleed pay regret yourself hell um fertig kaputt töten schlagen tuer frapper détruire matar golpear destruir".split())
+THREAT_SIGNS = frozenset("i we they you yourself go ich vais voy".split())
 _MASKED = re.compile(r"(?<![^\s\"'(,.])[a-z]+(?:[*@$#!0-9]+[a-z]*)+")
 _LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i"})
 _INSIDE = re.compile(r"[a-z][*@$#!0-9]+[a-z]")
+#: Bytes of lower-case text: all of ASCII but letters is a space; and letters, masks, and the rest.
+_SPACED = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
+_KINDS = bytes(97 if 97 <= c <= 122 else 42 if c in b"*@$#!0123456789" else 32 for c in range(256))
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 _CAPITALS = bytes(range(65, 91))
 VOTERS = (*LEXICONS, "mined", "family", "several", "masked", "addressed", "threat", "shouting", "punctuation", "nothing")
@@ -80,7 +85,17 @@ for _w in sorted(FIXED):
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """What _WORD finds in the text in lower case."""
+    low = (text or "").lower()
+    return _split(low, low.encode("utf-8", "surrogatepass"))
+
+
+def _split(low: str, raw: bytes) -> list[str]:
+    """raw: low as UTF-8."""
+    found = raw.translate(_SPACED).decode("utf-8", "surrogatepass").split()
+    if low.isascii() or "".join(found).isalpha():
+        return found
+    return [w for x in found for w in ((x,) if x.isalpha() else _WORD.findall(x))]
 
 
 def entries(word: str) -> list[str]:
@@ -108,32 +123,7 @@ def mine(labelled: DataFrame, least: int = 3, llr: float = 25.0, times: float =
     """Entries of `least` toxic texts (toxic = 1) or more that are by the likelihood ratio far more frequent there than in
     others; and the fixed words that labelled texts show to be ordinary ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
-        memo: dict[str, list[str]] = {}
-        held = 0
-        for b in batches:
-            for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
-                found: set[str] = set()
-                for w in set(words_of(text.as_py())):
-                    own = memo.get(w)
-                    if own is None:
-                        own = entries(w)
-                        if len(own) < MEMO_WORD:
-                            if held > HELD:
-                                memo.clear()
-                                held = 0
-                            memo[w] = own
-                            held += len(own)
-                    found.update(own)
-                counts[toxic == 1].update(found)
-                counts[toxic == 1][""] += 1  # the texts themselves
-                if len(counts[0]) + len(counts[1]) > MEMO:
-                    yield _counted(*counts)
-                    counts = Counter(), Counter()
-        yield _counted(*counts)
-
-    n = labelled.select("text", "toxic").mapInArrow(run, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
+    n = labelled.select("text", "toxic").mapInArrow(_count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
     n = materialize(n.where((F.col("a") >= least) | F.col("entry").isin("", *sorted(FIXED))), "toxic_entries")
     total = n.where("entry = ''").first()
     if total is None or not total["a"] or not total["b"]:
@@ -155,9 +145,96 @@ def mine(labelled: DataFrame, least: int = 3, llr: float = 25.0, times: float =
     return mined, sorted(r["entry"] for r in ordinary.collect())
 
 
-def _counted(clean: Counter, toxic: Counter) -> pa.RecordBatch:
-    keys = [*(clean.keys() | toxic.keys())]
-    return pa.RecordBatch.from_pydict({"entry": pa.array(keys, pa.string()), "clean": pa.array([clean[k] for k in keys], pa.int64()), "toxic": pa.array([toxic[k] for k in keys], pa.int64())})
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text, toxic -> partial counts of the entries' texts, and of all texts (entry ""). A task adds them up and hands them on beyond MEMO."""
+    held: list[pa.Table] = []
+
+    def merge() -> None:
+        held[:] = [pa.concat_tables(held).group_by("entry", use_threads=False).aggregate([("clean", "sum"), ("toxic", "sum")]).select(["entry", "clean_sum", "toxic_sum"]).rename_columns(["entry", "clean", "toxic"])]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        yield from held.pop().combine_chunks().to_batches(max_chunksize=OUT_ROWS)
+
+    def add(texts: list[list[str]], toxic: list[bool]) -> Iterator[pa.RecordBatch]:
+        held.append(_tally(texts, np.array(toxic, bool)))
+        if sum(map(len, held)) > 2 * MEMO:
+            merge()
+            if len(held[0]) > MEMO:
+                yield from flush()
+
+    for b in batches:
+        texts, toxic, size = [], [], 0
+        for text, bad in zip(b.column(0), b.column(1).to_pylist()):
+            texts.append(words_of(text.as_py()))
+            toxic.append(bad == 1)
+            size += len(texts[-1])
+            if size > TALLY:
+                yield from add(texts, toxic)
+                texts, toxic, size = [], [], 0
+        if texts:
+            yield from add(texts, toxic)
+    if held:
+        merge()
+        yield from flush()
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """In order; by sorting, which is faster here than numpy's own."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])]
+
+
+def _tally(texts: list[list[str]], toxic: np.ndarray) -> pa.Table:
+    """entry, and how many of the texts (lists of words) that are not toxic and that are have it: what entries() gives, for all at once."""
+    counts = [(pa.array([""]), np.array([[np.sum(~toxic)], [np.sum(toxic)]]))]
+    raw = "".join([" ".join(x) + " " for x in texts if x]).encode()
+    last = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(last), [None, pa.py_buffer(np.concatenate([[0], last + 1]).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+    words = pc.binary_slice(spelled.dictionary, 0, -1).cast(pa.large_string()).cast(pa.string())
+    long = pc.utf8_length(words).to_numpy()
+    pairs = _distinct(np.repeat(np.arange(len(texts)), [len(x) for x in texts]) << 32 | spelled.indices.to_numpy())
+    text, word = pairs >> 32, pairs & 0xFFFFFFFF  # each text's different words
+
+    def seen(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        bad = toxic[text]
+        return np.stack([np.bincount(at[~bad], minlength=n), np.bincount(at[bad], minlength=n)])
+
+    def once(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        pairs = _distinct(text << 32 | at)
+        return seen(pairs >> 32, pairs & 0xFFFFFFFF, n)
+
+    counts.append((words, seen(text, word, len(words))))
+    for k in BEGINNINGS:
+        own = np.flatnonzero((long > k) & (long >= GRAM))
+        found = pc.utf8_slice_codeunits(words.take(pa.array(own)), 0, k).dictionary_encode()
+        at = np.full(len(words), -1)
+        at[own] = found.indices.to_numpy()
+        at = at[word]
+        counts.append((pc.binary_join_element_wise(found.dictionary, "*", ""), once(text[at >= 0], at[at >= 0], len(found.dictionary))))
+    # Runs of GRAM characters: of each word in turn, those that begin at its bound and at all letters but the last ones.
+    own = np.flatnonzero(long >= GRAM)
+    bounded = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(own)], pa.int64()), pc.binary_join_element_wise("<", words.take(pa.array(own)), ">", "")), "")[0].as_py()
+    points = np.frombuffer(bounded.encode("utf-32-le"), np.uint32)
+    begins = np.ones(len(points), bool)
+    begins[(np.cumsum(long[own] + 2)[:, None] - np.arange(1, GRAM)).ravel()] = False
+    begins = np.flatnonzero(begins)
+    pair = pa.array(points[:-1].astype(np.int64) << 21 | points[1:]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    runs = pa.array(pair[begins] << 32 | pair[begins + 2]).dictionary_encode()
+    run = runs.indices.to_numpy()
+    n = np.zeros(len(words), np.int64)
+    n[own] = long[own] + 3 - GRAM
+    each = n[word]
+    at = np.repeat((np.cumsum(n) - n)[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    first = np.empty(len(runs.dictionary), np.int64)
+    first[run[::-1]] = begins[::-1]
+    letters = points[first[:, None] + np.arange(GRAM)]
+    marked = np.concatenate([np.full((len(first), 1), ord("~"), np.uint32), letters], 1)
+    size = 1 + (marked > 0x7F) + (marked > 0x7FF) + (marked > 0xFFFF).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size.sum(1))]).astype(np.int32)
+    spelling = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(marked.tobytes().decode("utf-32-le").encode())])
+    counts.append((spelling, once(np.repeat(text, each), run[at], len(first))))
+    n = np.concatenate([c for _, c in counts], 1)
+    return pa.table({"entry": pa.concat_arrays([e for e, _ in counts]), "clean": n[0], "toxic": n[1]})
 
 
 class Reader:
@@ -166,14 +243,22 @@ class Reader:
     def __init__(self, mined: list[str], ordinary: list[str] = ()):
         self.mined, self.ordinary = frozenset(mined), frozenset(ordinary)
         self.known = self.mined | FIXED
+        self.beginnings = {e[:-1] for e in self.known if e[-1] == "*"}
+        self.grams = {e[1:] for e in self.known if e[0] == "~"}
         self.memo: dict[str, tuple[tuple[str, ...], int]] = {}
         self.miss: set[str] = set()
         self.bits = {k: 1 << i for i, k in enumerate((*LEXICONS, "mined", "family"))}
 
+    def may_know(self, w: str) -> bool:
+        """False only for words without known entries."""
+        if w in self.known or w[:4] in self.beginnings or w[:5] in self.beginnings or w[:6] in self.beginnings:
+            return True
+        whole = f"<{w}>"
+        return not self.grams.isdisjoint([whole[i : i + GRAM] for i in range(len(whole) - GRAM + 1)])
+
     def word(self, w: str) -> tuple[tuple[str, ...], int]:
         """Known entries of the word, and the bits of the voters that it moves."""
-        own = entries(w)
-        found = tuple(e for e in own if e in self.known)
+        found = tuple(e for e in entries(w) if e in self.known) if self.may_know(w) else ()
         bits = sum(self.bits[k] for k, words in LEXICONS.items() if w in words and w not in self.ordinary)
         if any(e[-1] == "*" for e in found):
             bits |= self.bits["family"]
@@ -193,11 +278,12 @@ class Reader:
         """Known entries (once for each different word that has them), and names of the voters that say toxic."""
         text = text or ""
         low = text.lower()
-        words = _WORD.findall(low)
+        raw = low.encode("utf-8", "surrogatepass")
+        words = _split(low, raw)
         found: list[str] = []
         bits, hits, family = 0, {}, self.bits["family"]
-        memo, distinct = self.memo, set(words)
-        for w in distinct - self.miss:
+        memo = self.memo
+        for w in set(filterfalse(self.miss.__contains__, words)):
             some, b = memo.get(w) or self.word(w)
             found += some
             if b:
@@ -209,11 +295,11 @@ class Reader:
             hits = {w: b for w, b in hits.items() if b != family}
         if len(hits) > 1:
             votes.add("several")
-        if _INSIDE.search(low) and any(unmasked(m) for m in _MASKED.findall(low)):
+        if b"a*" in raw.translate(_KINDS) and _INSIDE.search(low) and any(unmasked(m) for m in _MASKED.findall(low)):
             votes.add("masked")
-        if hits and not YOU.isdisjoint(distinct) and any(hits.get(w, family) != family and not YOU.isdisjoint(words[max(0, i - 4) : i]) for i, w in enumerate(words)):
+        if hits and not YOU.isdisjoint(words) and any(hits.get(w, family) != family and not YOU.isdisjoint(words[max(0, i - 4) : i]) for i, w in enumerate(words)):
             votes.add("addressed")
-        if not THREAT_WORDS.isdisjoint(distinct) and THREAT.search(" ".join(words)):
+        if not THREAT_WORDS.isdisjoint(words) and not THREAT_SIGNS.isdisjoint(words) and THREAT.search(" ".join(words)):
             votes.add("threat")
         if "!!" in text or "??" in text or "!?" in text:
             votes.add("punctuation")
@@ -302,30 +388,51 @@ def train_linear(rows: DataFrame, names: list[str], ordinary: list[str] = ()) ->
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict:
     """docs (doc_id, text), labels (doc_id, toxic). Mining reads the labelled rows that are not held out, max_labelled ids
     of them at most (the first by hash); the label model and the classifier all documents that are not."""
-    spark = docs.sparkSession
-    ship(spark)
-    bound_batches(spark)
+    known, mined, ordinary = _mined(docs, labels, max_labelled)
+    training = docs.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(known, "doc_id", "left").select("text", "toxic")
+    return _learn(_read(training, mined, ordinary), mined, ordinary)
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, score, predicted of score(docs, fit(docs, labels)); texts are read for both at once."""
+    known, mined, ordinary = _mined(docs, labels, max_labelled)
+    found = materialize(_read(docs.select("doc_id", "text").join(known, "doc_id", "left").select("doc_id", "text", "toxic"), mined, ordinary), "toxic_read")
+    model = _learn(found.where(crc_mod(F.col("doc_id"), 5) != 0), mined, ordinary)
+    return _scored(found.select("doc_id", "entries"), "entries", lambda names, ordinary: lambda x: x.as_py(), model, ["doc_id"], ("score", "predicted"))
+
+
+def _mined(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[DataFrame, list[str], list[str]]:
+    """The labels that count (doc_id, toxic), broadcast, and what mine() finds in their texts."""
+    ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     known = labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = F.broadcast(materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "known"))
-    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
-    mined, ordinary = mine(labelled)
-    shared = spark.sparkContext.broadcast((mined, ordinary))
+    return known, *mine(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+
+
+def _read(docs: DataFrame, mined: list[str], ordinary: list[str]) -> DataFrame:
+    """docs with, instead of the text, its known entries in order and the voters' votes."""
+    shared = docs.sparkSession.sparkContext.broadcast((mined, ordinary))
+    at, kept = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """text, toxic -> entries, votes, toxic"""
         reader = Reader(*shared.value)
         for b in batches:
             found, votes = [], []
-            for text in b.column(0):
+            for text in b.column(at):
                 some, said = reader.read(text.as_py())
                 found.append(sorted(some))
                 votes.append(list(reader.votes(said)))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(votes, pa.list_(pa.int8())), b.column(1)], ["entries", "votes", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found, pa.list_(pa.string())), pa.array(votes, pa.list_(pa.int8()))], [*kept, "entries", "votes"])
 
-    training = docs.where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(known, "doc_id", "left").select("text", "toxic")
-    rows = training.mapInArrow(run, "entries array<string>, votes array<tinyint>, toxic int").groupBy("entries", "votes", "toxic").agg(F.count("*").alias("n"))
-    rows = materialize(rows, "toxic_votes")
-    shared.unpersist()
+    made = T.StructType([T.StructField("entries", T.ArrayType(T.StringType())), T.StructField("votes", T.ArrayType(T.ByteType()))])
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *made]))
+
+
+def _learn(read: DataFrame, mined: list[str], ordinary: list[str]) -> dict:
+    """The model from the training rows (entries, votes, toxic)."""
+    spark = read.sparkSession
+    rows = materialize(read.groupBy("entries", "votes", "toxic").agg(F.count("*").alias("n")), "toxic_votes")
     found = rows.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     votes = np.array([r["votes"] for r in found], int).reshape(-1, len(VOTERS))
     seen = rows.where("toxic is not null").groupBy("votes", "toxic").agg(F.sum("n").alias("n")).collect()
@@ -347,16 +454,25 @@ def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("score", "pred
     ship(docs.sparkSession)
     bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in names]
+
+    def entries_of(mined: list[str], ordinary: list[str]) -> Callable[[pa.Scalar], list[str]]:
+        reader = Reader(mined, ordinary)
+        return lambda x: sorted(reader.read(x.as_py())[0])
+
+    return _scored(docs.select(*keep), "text", entries_of, model, keep, names)
+
+
+def _scored(docs: DataFrame, source: str, entries_of: Callable, model: dict, keep: list[str], names: tuple[str, str]) -> DataFrame:
+    """The columns `keep` and the two of `names`. entries_of: of mined and ordinary entries, makes what reads a row's entries, in order, from `source`."""
     shared = docs.sparkSession.sparkContext.broadcast((model["names"], model["ordinary"], {k: w for k, w in model["weights"].items() if w}, model["bias"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mined, ordinary, weights, bias = shared.value
-        reader, weight = Reader(mined, ordinary), weights.get
+        read, weight = entries_of(mined, ordinary), weights.get
         for b in batches:
-            at = b.schema.get_field_index("text")
-            z = [bias + sum(weight(e, 0.0) for e in sorted(reader.read(t.as_py())[0])) for t in b.column(at)]
+            z = [bias + sum(weight(e, 0.0) for e in read(x)) for x in b.column(source)]
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], [*keep, *names])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -548,6 +548,58 @@ def test_toxicity_beyond_the_mined_words(spark):
     assert got == probes and not {"path*", "wort*", "worth*"} & set(model["names"])
 
 
+ODD = "aZeIil \n\t!*1@²½_'’«»éÉßẞİΣσς\u0307\xa0–中文か𝒜𝟙٣ǅ\x1c\x85"
+
+
+def test_toxicity_splits_as_the_pattern(rows):
+    rnd = random.Random(3)
+    odd = ["".join(rnd.choice(ODD) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    for text in [*odd, None, "", *(r[1] for r in rows)]:
+        assert toxicity.words_of(text) == re.findall(r"[^\W\d_]+", (text or "").lower())
+
+
+def test_toxicity_counts_entries_once_a_task(monkeypatch):
+    """What mining counts is the number of texts with each entry; a task hands an entry on once, unless it holds too many."""
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(ODD if i % 2 else "abcdefghé𝒜 ") for _ in range(rnd.randrange(120))) for i in range(400)] + [None, "", " ", "1"]
+    toxic = [int(rnd.random() < 0.3) for _ in texts]
+    want = defaultdict(lambda: [0, 0])
+    for t, x in zip(texts, toxic):
+        for e in {"", *(e for w in toxicity.words_of(t) for e in toxicity.entries(w))}:
+            want[e][x] += 3
+    monkeypatch.setattr(toxicity, "TALLY", 500, raising=False)
+    for memo in (400_000, 1000):
+        monkeypatch.setattr(toxicity, "MEMO", memo)
+        found = []
+        frame = type("Frame", (), {"select": lambda self, *a: self, "mapInArrow": lambda self, run, schema: found.append(run) or (_ for _ in ()).throw(StopIteration)})()
+        with pytest.raises(StopIteration):
+            toxicity.mine(frame)
+        table = pa.Table.from_batches(found[0](iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(toxic)], ["text", "toxic"])] * 3)))
+        got = defaultdict(lambda: [0, 0])
+        for r in table.to_pylist():
+            got[r["entry"]][0] += r["clean"]
+            got[r["entry"]][1] += r["toxic"]
+        assert got == want
+        if memo > 1000:
+            assert len(table) == len(want)
+
+
+def test_toxicity_query_reads_a_text_once_for_both(spark, tmp_path, monkeypatch):
+    """The query's rows are those of score(docs, fit(docs, labels)), from one scan of the texts besides mining."""
+    rnd = random.Random(9)
+    rows = [(i if i % 50 else None, words(rnd, 30, 60) + (rnd.choice([" you stupid xqzut", " i will hurt you", " s*upid!!", " SCUM SCUM SCUM"]) if i % 4 == 0 else "") if i % 61 else None, "en", "s", 1) for i in range(300)] + [(7, "again", "en", "s", 1)] * 2
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text")
+    want = sorted((str(r.doc_id), r.score, r.predicted) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
+    out = queries.op6_toxicity(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and "documents.parquet" not in str(out.inputFiles())
+    got = sorted((str(r.doc_id), r.score, r.predicted) for r in out.collect())
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want] and [b for _, b, _ in got] == pytest.approx([b for _, b, _ in want], rel=1e-6)
+    assert {r.held_out for r in out.collect()} == {True, False}
+
+
 def test_label_model_recovers_planted_rates():
     rnd = np.random.default_rng(7)
     n, k = 50_000, len(toxicity.VOTERS)
